@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Functions that go to executors carry this package's code with them; nothing need be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["gridloom"])
+
 #: The white space of the contracts, and a word in Java, RE2 and Python syntax.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"

@@ -11,8 +11,7 @@ The last three are counts of the text's own vote over all rows, by grouped
 aggregation; counts combine on the map side, so a hot host costs one row a task.
 
 A row is rejected if its text has no letters, if it has MIN_TRIGRAMS or more
-and they are likelier under noise (half way between the labelled texts and
-uniform trigrams), or if no language reaches MIN_POSTERIOR.
+and they are likelier under uniform noise than under every language, or if no language reaches MIN_POSTERIOR.
 
 Edge cases: null text is empty and rejected with language null; missing
 declared, suffix or host are no evidence; an empty table gives no rows; where no
@@ -49,7 +48,7 @@ def trigrams(text: str | None):
             return
         a, b, c = x[:-2], x[1:-1], x[2:]
         codes = (a << 16) | (b << 8) | c
-        codes = codes[(b != 32) & ((a != 32) | (c != 32))]
+        codes = codes[b != 32]
         yield ((codes * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
@@ -61,8 +60,7 @@ class TextModel:
         p = counts + 0.5
         p = p / p.sum(axis=0) if len(languages) else p
         self.logp = np.log(p).astype(np.float32)
-        usual = float((counts * self.logp).sum() / max(1, counts.sum())) if len(languages) else 0.0
-        self.floor = (usual - math.log(BINS)) / 2
+        self.floor = -math.log(BINS)
 
     def score(self, text: str | None) -> tuple[int, np.ndarray]:
         n, total = 0, np.zeros(len(self.languages))
