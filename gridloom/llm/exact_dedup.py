@@ -8,7 +8,8 @@ first digit is not moved again.
 
 Hot groups: counting a digit combines on the map side, so a group of copies
 reaches a reducer as one row per map task; rows get their group number by a
-plain equi-join, which adaptive execution splits where a digit is skewed.
+plain equi-join, which adaptive execution splits where a digit is skewed.  The
+joins are merge joins at every size: the list of groups grows with the input.
 
 Edge cases: null text counts as empty; texts that normalise to nothing are one
 group; repeated rows are members like others; an empty table gives an empty
@@ -41,7 +42,7 @@ def radix_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
     rows = rows.select("doc_id", "n_points", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").cast("long").alias("n_bytes"), F.substring("body", 1, FIRST_BYTES).alias("digit"), "body")
     several = _numbered(rows.groupBy("n_bytes", "digit").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "grp")
-    step = rows.join(several, ["n_bytes", "digit"], "left").select(
+    step = rows.join(several.hint("merge"), ["n_bytes", "digit"], "left").select(
         "doc_id", "n_points", "text_sha256", "n_bytes", "grp",
         F.when(F.col("grp").isNotNull(), F.expr(f"substring(body, {FIRST_BYTES + 1})")).alias("rest"),
     )
@@ -55,7 +56,7 @@ def radix_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         take *= GROWTH
         alive = alive.select("doc_id", "n_points", "text_sha256", "n_bytes", F.col("grp").alias("parent"), F.substring("rest", 1, take).alias("digit"), "rest")
         several = _numbered(alive.groupBy("parent", "digit").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "grp")
-        step = alive.join(several, ["parent", "digit"], "left").select(
+        step = alive.join(several.hint("merge"), ["parent", "digit"], "left").select(
             "doc_id", "n_points", "text_sha256", "n_bytes", "grp",
             F.when(F.col("grp").isNotNull(), F.expr(f"substring(rest, {take + 1})")).alias("rest"),
         )
@@ -76,7 +77,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     rows = radix_groups(docs, text, doc_id)
     order = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
     groups = rows.where("grp is not null").groupBy("level", "grp").agg(F.min(order).alias("best"), F.count("*").alias("size"))
-    joined = rows.join(groups, ["level", "grp"], "left")
+    joined = rows.join(groups.hint("merge"), ["level", "grp"], "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best.c"))
     return joined.select(
         "doc_id",
