@@ -76,7 +76,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     rows = radix_groups(docs, text, doc_id)
     order = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
-    groups = rows.where("grp is not null").groupBy("level", "grp").agg(F.min(order).alias("best"), F.count("*").alias("size"))
+    # stored, so that the join below deals both sides itself and can split a hot group
+    groups = stored(rows.where("grp is not null").groupBy("level", "grp").agg(F.min(order).alias("best"), F.count("*").alias("size")))
     joined = rows.join(groups.hint("merge"), ["level", "grp"], "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best.c"))
     return joined.select(
