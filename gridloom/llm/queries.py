@@ -4,6 +4,7 @@ from gridloom.llm.decontaminate import op4_benchmark_hits
 from gridloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from gridloom.llm.html_extract import op7_html_extract
 from gridloom.llm.language_id import op6_language_id, op6_pages_language
+from gridloom.llm.lm_score import op5_lm_scores
 from gridloom.llm.mixing import OP2_SQL, op2_pareto_mix
 from gridloom.llm.quality import op9_quality
 from gridloom.llm.simhash import op10_simhash_groups
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_pareto_mix": op2_pareto_mix,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_benchmark_hits": op4_benchmark_hits,
+    "op5_lm_scores": op5_lm_scores,
     "op6_language_id": op6_language_id,
     "op6_pages_language": op6_pages_language,
     "op7_html_extract": op7_html_extract,
