@@ -58,5 +58,11 @@ def lowered(text: str) -> str:
     return text.translate(ASCII_LOWER)
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """The words of a text in lower case (A-Z only).  bytes.lower and bytes.split know ASCII
+    alone, and the white space of the latter is that of the contracts."""
+    return (text or "").encode().lower().split()
+
+
 def partitions(spark: SparkSession, floor: int = 8) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
