@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORDS, id_text, lowered, partitions, small_batches, stored, table
+from gridloom.llm.common import byte_words, id_text, partitions, small_batches, stored, table
 from gridloom.llm.components import components
 
 TAU = 4
@@ -43,7 +43,7 @@ _SLICE = 1 << 16
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """SimHash of a text as an unsigned 64-bit number."""
-    words = [w.encode() for w in WORDS.findall(lowered(text or ""))]
+    words = byte_words(text)
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
