@@ -8,9 +8,11 @@ from gridloom.llm.lm_score import op5_lm_scores
 from gridloom.llm.mixing import OP2_SQL, op2_pareto_mix
 from gridloom.llm.quality import op9_quality
 from gridloom.llm.simhash import op10_simhash_groups
+from gridloom.llm.suffix_dedup import op1_suffix_dedup
 from gridloom.llm.url_filter import op8_url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pareto_mix": op2_pareto_mix,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_benchmark_hits": op4_benchmark_hits,
