@@ -45,8 +45,8 @@ WINDOW = 50
 GRAM = 24
 SHALLOW = GRAM
 SPAN = WINDOW - GRAM + 1  # grams of a window, and offsets of an anchor
-BATCH = 6_000_000
-SHARD_BYTES = 64_000_000  # of text to a shard
+BATCH = 3_000_000
+SHARD_BYTES = 24_000_000  # of text to a shard
 HASH_BYTES = 5
 LAST = (1 << 63) - 1
 _CHUNK = 1 << 17
@@ -103,7 +103,7 @@ class Runs:
         edge = np.zeros(len(buf) + 1, np.int32)
         edge[starts[long_]] += 1
         edge[(starts + sizes)[long_] - WINDOW + 1] -= 1
-        at = np.flatnonzero(np.cumsum(edge[:-1]))  # windows inside a document
+        at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32))  # windows inside a document
         del edge
         anchor = window_anchors(buf)[at]
         cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)) + 1
@@ -351,7 +351,7 @@ def _packed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
     small_batches(docs.sparkSession)
     rows = id_text(docs, text=text, doc_id=doc_id).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    return stored(rows.mapInPandas(work, "batch long, ids binary, sizes binary, body binary"), compression="none")
+    return stored(rows.mapInPandas(work, "batch long, ids binary, sizes binary, body binary"), compression="none", **{"parquet.block.size": str(16 << 20)})
 
 
 def _shards_of(batches, columns):
@@ -395,15 +395,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             raw = [np.frombuffer(r[2], np.uint8).reshape(-1, HASH_BYTES) for r in rows]
             wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
             wide[:, :HASH_BYTES] = np.concatenate(raw)
-            h = wide.view("<u8").ravel()
+            h, sizes_ = wide.view("<u8").ravel(), [len(x) for x in raw]
             flag = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(x)) for r, x in zip(rows, raw, strict=True)])
+            rows, raw = [r[1] for r in rows], None
             order = np.argsort(h, kind="stable")
             group = np.concatenate(([0], np.cumsum(h[order][1:] != h[order][:-1])))
             n = np.bincount(group, 1 + flag[order])
             several = np.zeros(len(h), bool)
             several[order] = n[group] > 1
-            cuts = np.cumsum([len(x) for x in raw])[:-1]
-            yield pd.DataFrame({"batch": [r[1] for r in rows], "shard": shard, "bits": [np.packbits(x).tobytes() for x in np.split(several, cuts)]})
+            cuts = np.cumsum(sizes_)[:-1]
+            yield pd.DataFrame({"batch": rows, "shard": shard, "bits": [np.packbits(x).tobytes() for x in np.split(several, cuts)]})
 
     small_batches(spark, 4)
     dealt = texts.mapInPandas(sketch, "shard long, batch long, hashes binary, flags binary").repartition(shards, "shard").sortWithinPartitions("shard")
