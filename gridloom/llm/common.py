@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
 import uuid
 
+import pyarrow
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,5 +66,13 @@ def byte_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system, where the C library can."""
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession, floor: int = 8) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -39,14 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_text, small_batches, stored, table
+from gridloom.llm.common import id_text, release, small_batches, stored, table
 
 WINDOW = 50
 GRAM = 24
 SHALLOW = GRAM
 SPAN = WINDOW - GRAM + 1  # grams of a window, and offsets of an anchor
-BATCH = 3_000_000
-SHARD_BYTES = 24_000_000  # of text to a shard
+BATCH = 1_000_000
+SHARD_BYTES = 16_000_000  # of text to a shard
 HASH_BYTES = 5
 LAST = (1 << 63) - 1
 _CHUNK = 1 << 17
@@ -159,11 +159,11 @@ class Entries:
         self.most, self.least = anchor - r.first[pick], anchor - r.last[pick]
         shard = _shard(r.hash[pick], shards)
         print_ = np.zeros(len(pick), np.uint64)
-        for i in range(0, len(pick), 1 << 16):
-            c = context(batch.buf, anchor[i : i + (1 << 16)], self.most[i : i + (1 << 16)], self.least[i : i + (1 << 16)])
+        for i in range(0, len(pick), 1 << 13):
+            c = context(batch.buf, anchor[i : i + (1 << 13)], self.most[i : i + (1 << 13)], self.least[i : i + (1 << 13)])
             words = np.zeros((len(c), 80), np.uint8)
             words[:, : self.WIDTH] = c
-            words[:, 76], words[:, 77] = self.most[i : i + (1 << 16)], self.least[i : i + (1 << 16)]
+            words[:, 76], words[:, 77] = self.most[i : i + (1 << 13)], self.least[i : i + (1 << 13)]
             w = words.view("<u8")
             h = w[:, 0].astype(np.uint64)
             for k in range(1, 10):
@@ -182,8 +182,8 @@ class Entries:
         np.minimum.at(self.doc, self.of, batch.ids[r.doc[pick]])
         self.anchor, self.shard = anchor[rep], shard[rep]
         self.e_most, self.e_least = self.most[rep], self.least[rep]
-        for i in range(0, len(pick), 1 << 16):
-            p = slice(i, i + (1 << 16))
+        for i in range(0, len(pick), 1 << 13):
+            p = slice(i, i + (1 << 13))
             e = rep[self.of[p]]
             if (context(batch.buf, anchor[p], self.most[p], self.least[p]) != context(batch.buf, anchor[e], self.most[e], self.least[e])).any():
                 raise ValueError("two contexts of one print")  # odds as above; nothing wrong is written
@@ -288,8 +288,8 @@ def deep_shallow(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             trie.insert(int.from_bytes(raw.tobytes(), "big"), i)
         order[a:b] = [i for _, items in trie.leaves() for i in items]
     common = np.zeros(n, np.int64)
-    for i in range(1, n, 1 << 16):
-        j = min(n, i + (1 << 16))
+    for i in range(1, n, 1 << 13):
+        j = min(n, i + (1 << 13))
         common[i:j] = np.cumprod(suffixes[order[i:j]] == suffixes[order[i - 1 : j - 1]], axis=1, dtype=np.uint8).sum(axis=1)
     return order, common
 
@@ -389,6 +389,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     "shard": np.array(some, np.int64), "batch": batch, "hashes": [low[cut[s] : cut[s + 1]].tobytes() for s in some],
                     "flags": [np.packbits(several[cut[s] : cut[s + 1]]).tobytes() for s in some],
                 })
+                release()
 
     def count(batches):
         for shard, rows in _shards_of(batches, ["shard", "batch", "hashes", "flags"]):
@@ -405,6 +406,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             several[order] = n[group] > 1
             cuts = np.cumsum(sizes_)[:-1]
             yield pd.DataFrame({"batch": rows, "shard": shard, "bits": [np.packbits(x).tobytes() for x in np.split(several, cuts)]})
+            release()
 
     small_batches(spark, 4)
     dealt = texts.mapInPandas(sketch, "shard long, batch long, hashes binary, flags binary").repartition(shards, "shard").sortWithinPartitions("shard")
@@ -427,6 +429,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                         k = np.arange(-(SPAN - 1), WINDOW)
                         keep = (k >= -e.e_most[p][:, None]) & (k < (WINDOW - e.e_least[p])[:, None])
                         yield pd.DataFrame({"shard": [s], "batch": [batch], "docs": [e.doc[p].tobytes()], "reach": [np.stack((e.e_most[p], e.e_least[p])).astype(np.uint8).tobytes()], "body": [c[keep].tobytes()]})
+                release()
 
     def settle(batches):
         for shard, rows in _shards_of(batches, ["shard", "batch", "docs", "reach", "body"]):
@@ -458,6 +461,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 v_.append(values[part].tobytes())
                 at += size
             yield pd.DataFrame({"batch": batch_, "shard": shard, "n": n_, "o": o_, "m": v_})
+            release()
 
     dealt = asked.mapInPandas(contexts, "shard long, batch long, docs binary, reach binary, body binary").repartition(shards, "shard").sortWithinPartitions("shard")
     marks = stored(dealt.mapInPandas(settle, "batch long, shard long, n binary, o binary, m binary"))
@@ -483,8 +487,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         e = pack.entries(shards, bits_)
         edge = np.zeros(len(pack.buf) + 1, np.int32)
         least = minima(marks_, len(e.doc))
-        for i in range(0, len(e.run), 1 << 16):
-            p = slice(i, i + (1 << 16))
+        for i in range(0, len(e.run), 1 << 13):
+            p = slice(i, i + (1 << 13))
             r = e.run[p]
             o = np.arange(SPAN)
             gone = (least[e.of[p]] < pack.ids[pack.runs.doc[r]][:, None]) & (o <= e.most[p][:, None]) & (o >= e.least[p][:, None])
@@ -511,6 +515,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                         row += [kept, [{"begin": x, "end": y} for x, y in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]]
                     rows.append(row)
                 yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if with_text else [])])
+                release()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<begin:long,end:long>>" * with_text
     full = asked.join(_answers(marks, "n", "o", "m").hint("merge"), "batch", "left")
