@@ -113,7 +113,8 @@ class Runs:
         self.doc = np.searchsorted(starts, self.first, side="right") - 1
         # an empty document shares its start with the next one, which side="right" passes over
         w = _words(buf)
-        self.hash = _mix(w[self.anchor].astype(np.uint64), w[self.anchor + 8].astype(np.uint64), w[self.anchor + 16].astype(np.uint64))
+        h = _mix(w[self.anchor].astype(np.uint64), w[self.anchor + 8].astype(np.uint64), w[self.anchor + 16].astype(np.uint64))
+        self.hash = _mix(h, h >> np.uint64(32), _K[0])  # anchors have small hashes; shards need even ones
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
