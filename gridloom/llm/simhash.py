@@ -41,9 +41,11 @@ SAMPLE = 20_000
 _SLICE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """SimHash of a text as an unsigned 64-bit number."""
+def fingerprint(text: str | None, shingle: int = 4, distinct: bool = False) -> int:
+    """SimHash of a text as an unsigned 64-bit number.  distinct: each shingle counts once."""
     words = byte_words(text)
+    if distinct and shingle == 1:
+        words = sorted(set(words))
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
@@ -58,12 +60,12 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id: str = "doc_id", distinct: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
     def work(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle, distinct) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
     small_batches(docs.sparkSession)
@@ -115,7 +117,7 @@ def plan(sample: np.ndarray, total: int, tau: int = TAU) -> list[tuple[list[int]
     sample = np.unique(sample)
     scale = (total / max(1, len(sample))) ** 2
     best = None
-    for m in (3, 4, 5):
+    for m in range(3, min(tau + 1, 8) + 1):
         groups, need = bit_groups(sample, m), tau - m + 1
         costs = []
         for bits in groups:
@@ -166,6 +168,15 @@ def _forest(fp: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(us, vs, strict=True))
 
 
+def _dense(fp: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a bucket: all of them while they are few, else a spanning forest."""
+    if len(fp) <= 1024:
+        u, v = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp) <= tau, 1))
+        if len(u) <= 4 * len(fp):
+            return [(fp[u], fp[v])]
+    return _forest(fp, tau)
+
+
 def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
     """u, v: edges whose components are those of all links between the distinct fingerprints in fp."""
     spark = fps.sparkSession
@@ -204,7 +215,7 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
         size = np.diff(np.append(start, len(fp)))
         us, vs = [], []
         for s, n in zip(start[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            for u, v in _forest(np.unique(fp[s : s + n]), tau):
+            for u, v in _dense(np.unique(fp[s : s + n]), tau):
                 us.append(u)
                 vs.append(v)
         run = np.repeat(np.arange(len(start)), size)
@@ -249,6 +260,56 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, tau: int = TAU, text: str
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    words = byte_words(text)
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)], dtype=np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, component_id: groups of documents whose shingles' Jaccard similarity is similarity or more.
+
+    Edits of a few words in a hundred change few distinct words but many shingles, so
+    candidates are found by SimHash of the distinct words within tau bits, by the same
+    plan, and each candidate pair is verified on the full sets of its shingles.  Only
+    documents that have a candidate are moved.  Documents of one fingerprint are
+    compared with the smallest of them.  Null doc_ids stand alone.
+    """
+    spark = docs.sparkSession
+    rows = id_text(docs, text=text, doc_id=doc_id).where("doc_id IS NOT NULL")
+    fps = stored(fingerprints(rows, 1, distinct=True))
+    vertices = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = links(vertices, tau)
+    least = lambda c, name: vertices.select(F.col("fp").alias(c), F.col("least").alias(name))
+    across = found.join(least("u", "a"), "u").join(least("v", "b"), "v").select("a", "b")
+    alike = fps.join(vertices, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    pairs = stored(across.union(alike).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    wanted = pairs.select(F.col("u").alias("wanted")).union(pairs.select("v")).distinct()
+
+    def sets(batches):
+        for b in batches:
+            yield pd.DataFrame({"node": b["doc_id"], "shingles": [_shingle_set(t, shingle).tobytes() for t in b["text"]]})
+
+    def verify(batches):
+        for b in batches:
+            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b["x"], b["y"], strict=True)]
+            yield b.loc[ok, ["u", "v"]]
+
+    small_batches(spark)
+    has = stored(rows.join(stored(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]))
+    of = lambda c, name: has.select(F.col("node").alias(c), F.col("shingles").alias(name))
+    edges = pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").mapInPandas(verify, "u long, v long")
+    comps = components(edges)
+    ids = id_text(docs, text=text, doc_id=doc_id).select("doc_id")
+    return ids.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,16 +1,39 @@
 """The pipeline against a brute-force version of its stages."""
 
+import random
 import sys
 import types
 
 import corpus_pipeline
 import duckdb
-from gridloom.llm import decontaminate, language_id, mixing
-from test_operators import SCHEMA, SPACE, brute_simhash, edge_rows
+from gridloom.llm import decontaminate, language_id, mixing, simhash
+from test_operators import SCHEMA, SPACE, WORDS, edge_rows, lower
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute_similar(pairs, similarity=0.8):
+    """doc_id -> smallest doc_id reachable over pairs of similar sets of five-word shingles."""
+    words = {i: WORDS.findall(lower(t or "")) for i, t in pairs}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    comp = {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if i < j:
+                union = len(sets[i] | sets[j])
+                if not union or len(sets[i] & sets[j]) / union >= similarity:
+                    a, b = sorted((root(i), root(j)))
+                    comp[b] = a
+    return {i: root(i) for i in ids}
+
+
 def brute(spark, rows, sf_dir):
     """Rows (dicts of documents) that reach the last stage."""
     docs = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows], "doc_id long, text string, lang string, source string")
@@ -23,7 +46,7 @@ def brute(spark, rows, sf_dir):
         best[k] = min(best.get(k, (0, 1 << 60)), (-len(r["text"] or ""), r["doc_id"]))
     keep = {i for _, i in best.values()}
     rows = list({r["doc_id"]: r for r in rows if r["doc_id"] in keep}.values())
-    least = {i: c for i, _, c in brute_simhash([(r["doc_id"], r["text"]) for r in rows])}
+    least = brute_similar([(r["doc_id"], r["text"]) for r in rows])
     rows = [r for r in rows if least[r["doc_id"]] == r["doc_id"]]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     plain = [decontaminate.plain(t) for _, t in items]
@@ -79,3 +102,21 @@ def test_entry_lives_without_the_folders(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     sys.modules.pop("__spark_entry__", None)
     assert isinstance(entry, types.ModuleType) and "pipeline" not in entry.queries() and "range_query" in entry.queries()
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(4000)]
+    texts = [[r.choice(vocabulary) for _ in range(r.randint(80, 400))] for _ in range(150)]
+    texts += [["of", "the"], ["the", "of"], ["the", "of", "the"], [], ["x"]]
+    for i in range(60):
+        t = list(texts[i % 30])
+        for _ in range(max(1, len(t) // 60)):
+            t[r.randrange(len(t))] = r.choice(vocabulary)
+        texts.append(t)
+    pairs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    want = brute_similar(pairs)
+    joined = [i for i in want if want[i] != i]
+    assert len(joined) > 30 and sum(got[i] == want[i] for i in joined) >= 0.97 * len(joined)
+    assert all(want[i] == got[i] or got[i] == i for i in want)  # nothing is joined that is not alike
