@@ -153,14 +153,23 @@ def closed_ring(ring) -> Column:
     return F.when(F.size(ring) == 0, ring).when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
-def point_in_ring(x, y, ring) -> Column:
-    """Even-odd rule over a closed ring; points on the boundary are unspecified."""
-    x, y, ring = _c(x), _c(y), _c(ring)
-    edges = F.arrays_zip(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
+def ring_edges(ring) -> Column:
+    """The edges of a closed ring as structs x1, y1, x2, y2."""
+    ring = _c(ring)
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    edge = lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), edge)
+
+
+def point_in_edges(x, y, edges) -> Column:
+    """Even-odd rule over the edges of a ring; points on the boundary are unspecified."""
+    x, y = _c(x), _c(y)
 
     def crosses(e: Column) -> Column:
-        a, b = e["0"], e["1"]
-        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
+        return ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+
+    return F.aggregate(_c(edges), F.lit(False), lambda odd, e: odd != F.coalesce(crosses(e), F.lit(False)))
 
-    named = F.transform(edges, lambda e: F.struct(e.getField("a").alias("0"), e.getField("b").alias("1")))
-    return F.aggregate(named, F.lit(False), lambda odd, e: odd != F.coalesce(crosses(e), F.lit(False)))
+
+def point_in_ring(x, y, ring) -> Column:
+    return point_in_edges(x, y, ring_edges(ring))

@@ -55,8 +55,10 @@ def polygon_join(points: DataFrame, polygons: DataFrame, mode: str = "exact", x:
         raise ValueError(f"mode is 'mbr' or 'exact', not {mode!r}")
     shapes = polygons.withColumn("ring", g.closed_ring("ring")).withColumn("_e", g.ring_envelope("ring"))
     shapes = shapes.select("*", "_e.x0", "_e.y0", "_e.x1", "_e.y1").drop("_e")
+    if mode == "exact":  # once per polygon, not per pair
+        shapes = shapes.withColumn("_edges", g.ring_edges("ring"))
     pairs = rect_join(points, shapes, x, y).drop("x0", "y0", "x1", "y1")
-    return pairs if mode == "mbr" else pairs.where(g.point_in_ring(x, y, "ring"))
+    return pairs if mode == "mbr" else pairs.where(g.point_in_edges(x, y, "_edges")).drop("_edges")
 
 
 def polygon_collect(points: DataFrame, polygons: DataFrame, mode: str = "exact", x: str = "x", y: str = "y") -> DataFrame:
