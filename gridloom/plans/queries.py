@@ -6,7 +6,6 @@ pts_geo (degrees from order keys), pts_emb, rects and two polygons.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
