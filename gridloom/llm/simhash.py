@@ -23,7 +23,6 @@ are counted in slices; repeated rows share a vertex; an empty table gives none.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
