@@ -101,7 +101,9 @@ def url_filter(pages: DataFrame, rules=RULES, url: str = "url", page_id: str = "
     learn = texts.where("ruling is not null").where(~_held(F.col("text"))).select("text", F.when(F.col("ruling") == "allow", F.col("n")).otherwise(0).alias("a"), F.when(F.col("ruling") == "block", F.col("n")).otherwise(0).alias("b"))
     judge = texts.where(F.col("ruling").isNull() | _held(F.col("text")))
     chars = _grams(judge, "host", "path", "ruling", "n")
-    scores = stored(chars.join(gram_ratios(learn, chars), "gram").groupBy("host", "path", "ruling", "n").agg(F.avg("ratio").alias("score")))
+    # stored, so that the join deals both sides itself and can split a hot gram
+    ratios = stored(gram_ratios(learn, chars))
+    scores = stored(chars.join(ratios, "gram").groupBy("host", "path", "ruling", "n").agg(F.avg("ratio").alias("score")))
     learned = learn.agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     mean = lambda verdict: F.sum(F.when(F.col("ruling") == verdict, F.col("score") * F.col("n"))) / F.sum(F.when(F.col("ruling") == verdict, F.col("n")))
     threshold = scores.agg(F.coalesce((mean("allow") + mean("block")) / 2, F.lit(0.0)).alias("threshold")).crossJoin(learned)  # one row each
