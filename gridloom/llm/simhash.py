@@ -190,7 +190,7 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
                 keys = extract(fp.view(np.uint64), bits)
                 for mask in masks:
                     # of two that differ in the mask, the one with its lowest bit set probes the other
-                    take = (keys & (mask & -mask)) != 0 if mask else slice(None)
+                    take = (keys & np.uint64(int(mask) & -int(mask))) != 0 if mask else slice(None)
                     yield pd.DataFrame({"bucket": ((keys[take] ^ mask) | np.uint64(i << 32)).view(np.int64), "fp": fp[take]})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")

@@ -114,7 +114,7 @@ class Runs:
         # an empty document shares its start with the next one, which side="right" passes over
         w = _words(buf)
         h = _mix(w[self.anchor].astype(np.uint64), w[self.anchor + 8].astype(np.uint64), w[self.anchor + 16].astype(np.uint64))
-        self.hash = _mix(h, h >> np.uint64(32), _K[0])  # anchors have small hashes; shards need even ones
+        self.hash = _mix(h, h >> np.uint64(32), np.array([1], np.uint64))  # anchors have small hashes; shards need even ones
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -168,7 +168,7 @@ class Entries:
             w = words.view("<u8")
             h = w[:, 0].astype(np.uint64)
             for k in range(1, 10):
-                h = _mix(h, w[:, k].astype(np.uint64), np.uint64(k))
+                h = _mix(h, w[:, k].astype(np.uint64), np.array([k], np.uint64))
             print_[i : i + len(c)] = h
         # contexts of one print count as one; a false match has odds of 1e-13 a batch, and is looked for
         order = np.lexsort((print_, shard))

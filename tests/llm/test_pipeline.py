@@ -86,6 +86,14 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     assert sorted(map(tuple, got), key=repr) == [(1, "a b", 1), (None, "c", 3)]
 
 
+def test_rows_without_id_stay(spark):
+    docs = spark.createDataFrame([(None, "the thing and the other"), (None, None), (None, "the thing and the other"), (4, "the thing and the other"), (5, "the thing, and the rest of it")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert docs.where("doc_id IS NULL").count() == 3
+    assert docs.count() >= 4
+
+
 def test_entry_lives_without_the_folders(monkeypatch):
     import builtins
     import importlib
