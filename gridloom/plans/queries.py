@@ -154,7 +154,7 @@ def rect_pairs(s, d):
     b = a.select(*[F.col(c).alias("b_" + c) for c in a.columns])
     wide = b.withColumn("b_x1", F.col("b_x1") + 6000)
     sides = ("x0", "y0", "x1", "y1", "b_x0", "b_y0", "b_x1", "b_y1")
-    return a.join(wide, g.rect_intersects(*sides) & (F.col("rect_id") < F.col("b_rect_id"))).select("rect_id", "b_rect_id", g.rect_contains_rect(*sides).alias("contains"))
+    return a.join(wide, g.rect_intersects(*sides) & (F.col("rect_id") > F.col("b_rect_id"))).select("rect_id", "b_rect_id", g.rect_contains_rect(*sides).alias("contains"))
 
 
 def circle_boxes(s, d):
@@ -306,7 +306,7 @@ SQL: dict[str, str] = {
     "manifest_mbr": f"SELECT pid, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM ({_FIX}) GROUP BY pid",
     "haversine_matrix": "WITH q AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_nationkey * 7.0::DOUBLE - 80 AS lat, n_nationkey * 13.0::DOUBLE - 170 AS lon FROM nation) SELECT p.k AS a, q.k AS b, round(2 * 6378137.0 * asin(sqrt(least(1.0, pow(sin((radians(q.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin((radians(q.lon) - radians(p.lon)) / 2), 2)))) / 1000, 3) AS km FROM q p JOIN q ON p.k < q.k",
     "rect_functions": f"SELECT rect_id, (x1 - x0) * (y1 - y0) AS area, sqrt(x0 * x0 + y0 * y0) AS len, sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)) AS diagonal FROM {_RECTS}",
-    "rect_intersects_pairs": f"SELECT a.rect_id, b.rect_id AS b_rect_id, a.x0 <= b.x0 AND b.x1 + 6000 <= a.x1 AND a.y0 <= b.y0 AND b.y1 <= a.y1 AS contains FROM {_RECTS} a JOIN {_RECTS} b ON a.x0 <= b.x1 + 6000 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0 AND a.rect_id < b.rect_id",
+    "rect_intersects_pairs": f"SELECT a.rect_id, b.rect_id AS b_rect_id, a.x0 <= b.x0 AND b.x1 + 6000 <= a.x1 AND a.y0 <= b.y0 AND b.y1 <= a.y1 AS contains FROM {_RECTS} a JOIN {_RECTS} b ON a.x0 <= b.x1 + 6000 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0 AND a.rect_id > b.rect_id",
     "circle_bbox": "SELECT CAST(n_nationkey AS BIGINT) AS circle_id, k * 100 - (k + 1) AS x0, k * 3 - (k + 1) AS y0, k * 100 + (k + 1) AS x1, k * 3 + (k + 1) AS y1 FROM (SELECT n_nationkey, n_nationkey::DOUBLE AS k FROM nation)",
     "emb_range": "SELECT vec_id FROM embeddings WHERE embedding[1]::DOUBLE BETWEEN -0.1 AND 0.1 AND embedding[2]::DOUBLE BETWEEN -0.1 AND 0.1",
     "csv_points": f"SELECT x, y FROM {_LI}",
