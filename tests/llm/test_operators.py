@@ -212,39 +212,47 @@ def test_op4_finds_all_within_budget(spark, none):
 def brute_lm(pairs):
     texts = [(i, WORDS.findall(lower(t or ""))) for i, t in pairs]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c, cv, pair, rest, types = Counter(), Counter(), Counter(), Counter(), Counter()
+    c, cv, pair, types = Counter(), Counter(), Counter(), Counter()
     for i, w in texts:
         if not held(i):
             c.update([*w, " "])
     n, v = sum(c.values()), len(c)
-    known = {w for w in c if len(w.encode()) <= lm_score.WORD_BYTES}
-    assert len(known) < lm_score.VOCABULARY
+    top = sorted((w for w in c if w != " " and len(w.encode()) <= lm_score.WORD_BYTES), key=lambda w: (-c[w], w))[: lm_score.VOCABULARY]
+    known = {"<s>", " ", *top}
+    kind = lambda w: w if w in known else "<other>"
+    p1 = lambda w: (c[w] + 1) / (n + v + 1)
+    p1_other = 1 - sum(map(p1, [*top, *([" "] if n else [])]))
     for i, w in texts:
         if not held(i):
-            s = ["<s>", *w, " "]
-            for a, b in zip(s, s[1:], strict=False):
-                if a == "<s>" or a in known:
-                    cv[a] += 1
-                    if b in known:
-                        pair[a, b] += 1
-                    else:
-                        rest[a] += 1
-    for a, _ in pair:
-        types[a] += 1
+            s = ["<s>", *map(kind, w), " "]
+            cv.update(s[:-1])
+            pair.update(zip(s, s[1:], strict=False))
+    types.update(a for a, _ in pair)
+
+    def after(a, b):
+        a, k = kind(a), kind(b)
+        if not cv[a]:
+            return p1(b)
+        p = max(pair[a, k] - 0.75, 0) / cv[a] + 0.75 * types[a] / cv[a] * (p1(b) if k == b else p1_other)
+        return p if k == b else p * p1(b) / p1_other
+
+    if n:  # the model is one: all known words, the end and an unseen word
+        for a in ["<s>", *list(c)[:3], "<unseen>"]:
+            assert math.isclose(sum(after(a, b) for b in [*c, "<unseen>"]), 1, rel_tol=1e-9)
     for i, w in texts:
-        s, base, score = ["<s>", *w, " "], 0.0, 0.0
-        for a, b in zip(s, s[1:], strict=False):
-            p1 = (c[b] + 1) / (n + v + 1)
-            base += math.log10(p1)
-            p = max(pair[a, b] - 0.75, 0) / cv[a] + (0.75 * types[a] + rest[a]) / cv[a] * p1 if cv[a] else p1
-            score += math.log10(p)
+        s = ["<s>", *w, " "]
+        base = sum(math.log10(p1(b)) for b in s[1:])
+        score = sum(math.log10(after(a, b)) for a, b in zip(s, s[1:], strict=False))
         yield i, held(i), len(w) + 1, sum(c[x] > 0 for x in [*w, " "]), n, base, score
 
 
 @pytest.mark.parametrize("edges", [True, False])
-def test_op5(spark, docs, edges):
+def test_op5(spark, docs, edges, monkeypatch):
     df = docs if edges else spark.read.parquet(f"{SF}/documents.parquet")
     pairs = [(r[0], r[1]) for r in edge_rows()] if edges else [(r["doc_id"], r["text"]) for r in df.collect()]
+    if not edges:  # most words are outside the vocabulary, few bigrams are hot
+        monkeypatch.setattr(lm_score, "WORD_BYTES", 5)
+        monkeypatch.setattr(lm_score, "HOT", 200)
     got = sorted(map(tuple, lm_score.lm_scores(df).collect()))
     want = sorted(brute_lm(pairs))
     assert [g[:5] for g in got] == [w[:5] for w in want]
