@@ -35,7 +35,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) for every node of the edges (u, v)."""
+    """node, root (the smallest node of its component) for every node of the edges (u, v) but the roots."""
     edges = stored(edges.select("u", "v").where("u <> v").distinct())
     mark = _print(edges)
     while mark[0]:

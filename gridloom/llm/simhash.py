@@ -36,6 +36,7 @@ from gridloom.llm.components import components
 TAU = 4
 SEED = 42
 BLOCK = 8192
+PARTNERS = 4
 SAMPLE = 20_000
 _SLICE = 1 << 16
 
@@ -167,17 +168,39 @@ def _forest(fp: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(us, vs, strict=True))
 
 
-def _dense(fp: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a bucket: all of them while they are few, else a spanning forest."""
+def _partners(fp: np.ndarray, tau: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each fingerprint with its most nearest links and with the most of its links that have
+    most and closest links themselves: the original of a group is the one that all resemble."""
+    step, most = 512, min(most, len(fp))
+    spans = [slice(i, i + step) for i in range(0, len(fp), step)]
+    central = np.concatenate([np.maximum(tau + 1 - np.bitwise_count(fp[i, None] ^ fp).astype(np.int32), 0).sum(axis=1) for i in spans]).astype(np.int32)
+    out = []
+    for i in spans:
+        apart = np.bitwise_count(fp[i, None] ^ fp).astype(np.int32)
+        apart[np.arange(len(apart)), np.arange(i.start, i.start + len(apart))] = 65  # not itself
+        for rank in (apart, np.where(apart <= tau, -central, 1)):
+            some = np.argpartition(rank, most - 1, axis=1)[:, :most]
+            row, col = np.nonzero(np.take_along_axis(apart, some, axis=1) <= tau)
+            out.append((fp[i][row], fp[some[row, col]]))
+    return out
+
+
+def _dense(fp: np.ndarray, tau: int, partners: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a bucket: all of them while they are few, else a spanning forest and the partners."""
     if len(fp) <= 1024:
         u, v = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp) <= tau, 1))
-        if len(u) <= 4 * len(fp):
+        if len(u) <= max(4, 2 * partners) * len(fp):
             return [(fp[u], fp[v])]
-    return _forest(fp, tau)
+    return _forest(fp, tau) + (_partners(fp, tau, partners) if partners else [])
 
 
-def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
-    """u, v: edges whose components are those of all links between the distinct fingerprints in fp."""
+def links(fps: DataFrame, tau: int = TAU, partners: int = 0) -> DataFrame:
+    """u, v: edges whose components are those of all links between the distinct fingerprints in fp.
+
+    Where links are verified further, a forest is not enough: with partners, each
+    fingerprint of a dense bucket also has its edges to that many nearest ones and
+    to that many of those with most and closest links.
+    """
     spark = fps.sparkSession
     total = fps.count()
     sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -214,7 +237,7 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
         size = np.diff(np.append(start, len(fp)))
         us, vs = [], []
         for s, n in zip(start[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            for u, v in _dense(np.unique(fp[s : s + n]), tau):
+            for u, v in _dense(np.unique(fp[s : s + n]), tau, partners):
                 us.append(u)
                 vs.append(v)
         run = np.repeat(np.arange(len(start)), size)
@@ -276,7 +299,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
 
     Edits of a few words in a hundred change few distinct words but many shingles, so
     candidates are found by SimHash of the distinct words within tau bits, by the same
-    plan, and each candidate pair is verified on the full sets of its shingles.  Only
+    plan, and each candidate pair is verified on the full sets of its shingles.  In a
+    bucket where most fingerprints link, each is verified with its PARTNERS nearest and
+    the PARTNERS with most and closest links, not with all; after that, each is also
+    verified with the hub of every group its partners are in: the document with most
+    verified links, such as the original of many copies.  Only
     documents that have a candidate are moved.  Documents of one fingerprint are
     compared with the smallest of them.  Null doc_ids stand alone.
     """
@@ -284,7 +311,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     rows = id_text(docs, text=text, doc_id=doc_id).where("doc_id IS NOT NULL")
     fps = stored(fingerprints(rows, 1, distinct=True))
     vertices = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = links(vertices, tau)
+    found = links(vertices, tau, PARTNERS)
     least = lambda c, name: vertices.select(F.col("fp").alias(c), F.col("least").alias(name))
     across = found.join(least("u", "a"), "u").join(least("v", "b"), "v").select("a", "b")
     alike = fps.join(vertices, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
@@ -303,8 +330,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     small_batches(spark)
     has = stored(rows.join(stored(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]))
     of = lambda c, name: has.select(F.col("node").alias(c), F.col("shingles").alias(name))
-    edges = pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").mapInPandas(verify, "u long, v long")
-    comps = components(edges)
+    verified = lambda p: stored(p.join(of("u", "x"), "u").join(of("v", "y"), "v").mapInPandas(verify, "u long, v long"))
+    edges = verified(pairs)
+    first = components(edges)
+    first = stored(first.union(first.select("root", "root").distinct()))
+    both = lambda p: p.select(F.col("u").alias("node"), F.col("v").alias("near")).union(p.select("v", "u"))
+    degree = both(edges).groupBy("node").agg(F.count("*").alias("n"))
+    hubs = first.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"))
+    theirs = first.select(F.col("node").alias("near"), "root").join(hubs, "root")
+    mine = first.select("node", F.col("root").alias("own"))
+    more = both(pairs).join(theirs, "near").join(mine, "node", "left").where("own IS NULL OR own <> root").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).where("u < v")
+    more = stored(more.distinct().join(pairs, ["u", "v"], "left_anti"))
+    comps = components(edges.union(verified(more)))
     ids = id_text(docs, text=text, doc_id=doc_id).select("doc_id")
     return ids.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 

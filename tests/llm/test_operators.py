@@ -489,6 +489,23 @@ def test_op10(spark, docs, edges, monkeypatch):
     assert sorted((r["doc_id"], f"{r['fp'] % (1 << 64):016x}", r["component_id"]) for r in got.collect()) == brute_simhash(pairs)
 
 
+def test_similar_groups_find_the_original(spark):
+    """Copies that resemble the original only, not one another: nearly all join it."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    first = r.choices(words, k=400)
+    texts = [" ".join(first)]
+    for _ in range(149):
+        w = list(first)
+        for j in r.sample(range(400), 7):
+            w[j] = r.choice(words)
+        texts.append(" ".join(w))
+    texts += [" ".join(r.choices(words, k=200)) for _ in range(100)]
+    got = rows(simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "component_id")
+    assert sum(c == 0 for i, c in got if i < 150) >= 135
+    assert all(c == i for i, c in got if i >= 150)
+
+
 def test_op10_empty(none):
     assert simhash.simhash_groups(none).count() == 0
 
