@@ -1,4 +1,4 @@
-"""SimHash near-dedup by the generalised pigeonhole principle.
+"""SimHash near-dedup by the generalised pigeonhole principle; similar_groups: near copies by an exact join of shingle sets.
 
 Fingerprints: 64-bit SimHash of the word shingles, a bit is 1 if it is set in
 over half the shingles' XXH64.  Two fingerprints link at up to TAU differing
@@ -36,16 +36,18 @@ from gridloom.llm.components import components
 TAU = 4
 SEED = 42
 BLOCK = 8192
-PARTNERS = 4
 SAMPLE = 20_000
+#: similar_groups: sets of a bucket whose pairs are listed; sets of a block; frequent shingles and texts sampled for them.
+FEW = 64
+BLOCK_SETS = 512
+FREQUENT = 200_000
+FREQUENT_SAMPLE = 8000
 _SLICE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 4, distinct: bool = False) -> int:
-    """SimHash of a text as an unsigned 64-bit number.  distinct: each shingle counts once."""
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """SimHash of a text as an unsigned 64-bit number."""
     words = byte_words(text)
-    if distinct and shingle == 1:
-        words = sorted(set(words))
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
@@ -60,12 +62,12 @@ def fingerprint(text: str | None, shingle: int = 4, distinct: bool = False) -> i
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id: str = "doc_id", distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
     def work(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle, distinct) for t in b["text"]], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
     small_batches(docs.sparkSession)
@@ -168,39 +170,17 @@ def _forest(fp: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(us, vs, strict=True))
 
 
-def _partners(fp: np.ndarray, tau: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each fingerprint with its most nearest links and with the most of its links that have
-    most and closest links themselves: the original of a group is the one that all resemble."""
-    step, most = 512, min(most, len(fp))
-    spans = [slice(i, i + step) for i in range(0, len(fp), step)]
-    central = np.concatenate([np.maximum(tau + 1 - np.bitwise_count(fp[i, None] ^ fp).astype(np.int32), 0).sum(axis=1) for i in spans]).astype(np.int32)
-    out = []
-    for i in spans:
-        apart = np.bitwise_count(fp[i, None] ^ fp).astype(np.int32)
-        apart[np.arange(len(apart)), np.arange(i.start, i.start + len(apart))] = 65  # not itself
-        for rank in (apart, np.where(apart <= tau, -central, 1)):
-            some = np.argpartition(rank, most - 1, axis=1)[:, :most]
-            row, col = np.nonzero(np.take_along_axis(apart, some, axis=1) <= tau)
-            out.append((fp[i][row], fp[some[row, col]]))
-    return out
-
-
-def _dense(fp: np.ndarray, tau: int, partners: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a bucket: all of them while they are few, else a spanning forest and the partners."""
+def _dense(fp: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a bucket: all of them while they are few, else a spanning forest."""
     if len(fp) <= 1024:
         u, v = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp) <= tau, 1))
-        if len(u) <= max(4, 2 * partners) * len(fp):
+        if len(u) <= 4 * len(fp):
             return [(fp[u], fp[v])]
-    return _forest(fp, tau) + (_partners(fp, tau, partners) if partners else [])
+    return _forest(fp, tau)
 
 
-def links(fps: DataFrame, tau: int = TAU, partners: int = 0) -> DataFrame:
-    """u, v: edges whose components are those of all links between the distinct fingerprints in fp.
-
-    Where links are verified further, a forest is not enough: with partners, each
-    fingerprint of a dense bucket also has its edges to that many nearest ones and
-    to that many of those with most and closest links.
-    """
+def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
+    """u, v: edges whose components are those of all links between the distinct fingerprints in fp."""
     spark = fps.sparkSession
     total = fps.count()
     sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -237,7 +217,7 @@ def links(fps: DataFrame, tau: int = TAU, partners: int = 0) -> DataFrame:
         size = np.diff(np.append(start, len(fp)))
         us, vs = [], []
         for s, n in zip(start[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            for u, v in _dense(np.unique(fp[s : s + n]), tau, partners):
+            for u, v in _dense(np.unique(fp[s : s + n]), tau):
                 us.append(u)
                 vs.append(v)
         run = np.repeat(np.arange(len(start)), size)
@@ -285,8 +265,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, tau: int = TAU, text: str
 def _shingle_set(text: str, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     words = byte_words(text)
-    n = max(1, len(words) - shingle + 1) if words else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)], dtype=np.uint64))
+    if not words:
+        return np.zeros(0, np.uint64)
+    n, joined, h = max(1, len(words) - shingle + 1), b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    return np.unique(np.fromiter((h(joined[a:b]) for a, b in zip(starts, ends, strict=True)), np.uint64, n))
+
+
+def _set_key(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -294,54 +283,185 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order (rare ones by hash, then frequent ones by frequency):
+    so many that two sets of the similarity share one of them."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    size = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if not len(frequent):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    rank = np.where(frequent[at] == shingles, often[at], 0)
+    return shingles[np.lexsort((shingles, rank))[:size]]
+
+
+def _possible(nx, ny, px, py, similarity: float) -> np.ndarray:
+    """Whether sets of nx and ny shingles whose first common one is at px and py can have the similarity.
+    No pair that has it fails in the bucket of its first common shingle."""
+    swap = nx > ny
+    nx, ny, px, py = np.where(swap, ny, nx), np.where(swap, nx, ny), np.where(swap, py, px), np.where(swap, px, py)
+    share = similarity / (1 + similarity)
+    ok = nx >= similarity * ny - 1e-9
+    ok &= 1 + np.minimum(nx - px - 1, ny - py - 1) >= share * (nx + ny) - 1e-9
+    return ok & (px < nx - np.ceil(2 * share * nx - 1e-9) + 1)
+
+
+def similar_forest(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges between sets of different roots that have the similarity: a spanning forest of all of them."""
+    size = np.array([len(x) for x in sets], np.int64)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, inverse, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    common = count[inverse] > 1
+    column = (np.cumsum(count > 1) - 1)[inverse[common]]
+    owner = owner[common]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for i in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (i, i + 4096))
+        some = np.zeros((len(sets), 4096), np.float32)
+        some[owner[lo:hi], column[lo:hi] - i] = 1
+        both += some @ some.T
+    both = both.astype(np.int64)
+    linked = both / np.maximum(size[:, None] + size - both, 1) >= similarity
+    linked |= root[:, None] == root  # joined already; these edges are not returned
+    left, edges = np.arange(len(sets)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = linked[x, left]
+            edges += [(int(x), int(y)) for y in left[near] if root[y] != root[x]]
+            queue.extend(left[near])
+            left = left[~near]
+    return edges
+
+
+def _runs(batches, keys: list[str]):
+    """Sorted batches dealt anew, so that rows of equal keys are never parted."""
+    held = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = np.logical_and.reduce([b[k].to_numpy() == b[k].iloc[-1] for k in keys])
+        other = np.flatnonzero(~last)
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if not cut and held and any(held[-1][k].iloc[-1] != b[k].iloc[0] for k in keys):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        if cut:
+            yield pd.concat([*held, b.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(b.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts of a bounded sample have, and in how many."""
+    share = min(1.0, FREQUENT_SAMPLE / max(1, rows.count()))
+
+    def work(batches):
+        for b in batches:
+            yield pd.DataFrame({"token": np.concatenate([_shingle_set(t, shingle) for t in b["text"]] or [np.zeros(0, np.uint64)]).view(np.int64)})
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    got = some.mapInPandas(work, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 5").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    token, n = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, component_id: groups of documents whose shingles' Jaccard similarity is similarity or more.
 
-    Edits of a few words in a hundred change few distinct words but many shingles, so
-    candidates are found by SimHash of the distinct words within tau bits, by the same
-    plan, and each candidate pair is verified on the full sets of its shingles.  In a
-    bucket where most fingerprints link, each is verified with its PARTNERS nearest and
-    the PARTNERS with most and closest links, not with all; after that, each is also
-    verified with the hub of every group its partners are in: the document with most
-    verified links, such as the original of many copies.  Only
-    documents that have a candidate are moved.  Documents of one fingerprint are
-    compared with the smallest of them.  Null doc_ids stand alone.
+    An exact join of sets by prefixes.  All shingles are put in one order, rare ones
+    first; two sets of the similarity share one of their first n - ceil(similarity n) + 1
+    shingles, so every such pair meets in a bucket of one of these.  The order
+    (a bounded sample tells the frequent shingles) steers cost only.  Equal sets are one
+    vertex, named by 64 bits of hash as the shingles are.  In a bucket of up to FEW
+    sets every pair whose sizes and positions allow the similarity is verified on the
+    full sets.  In a larger one all are verified with one of them; if that leaves several
+    components, every two sets of different components are then compared in blocks
+    of BLOCK_SETS, and a spanning forest of the verified pairs is returned.  Only
+    documents that have a candidate are moved.  Null doc_ids stand alone.
     """
     spark = docs.sparkSession
     rows = id_text(docs, text=text, doc_id=doc_id).where("doc_id IS NOT NULL")
-    fps = stored(fingerprints(rows, 1, distinct=True))
-    vertices = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = links(vertices, tau, PARTNERS)
-    least = lambda c, name: vertices.select(F.col("fp").alias(c), F.col("least").alias(name))
-    across = found.join(least("u", "a"), "u").join(least("v", "b"), "v").select("a", "b")
-    alike = fps.join(vertices, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    pairs = stored(across.union(alike).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    wanted = pairs.select(F.col("u").alias("wanted")).union(pairs.select("v")).distinct()
+    small_batches(spark)
+    frequent, often = _frequent(rows, shingle)
+
+    def prefixes(batches):
+        for b in batches:
+            sets = [_shingle_set(t, shingle) for t in b["text"]]
+            key = np.array([_set_key(x) for x in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "n": [len(x) for x in sets], "prefix": [prefix(x, similarity, frequent, often).tobytes() for x in sets]})
+
+    def signatures(batches):
+        for b in batches:
+            tokens = [np.frombuffer(x, np.int64) for x in b["prefix"]]
+            size = [len(x) for x in tokens]
+            if sum(size):
+                yield pd.DataFrame({"bucket": np.concatenate(tokens), "key": np.repeat(b["key"].to_numpy(), size), "n": np.repeat(b["n"].to_numpy(), size), "pos": np.concatenate([np.arange(k) for k in size])})
+
+    def probe(batches):
+        for b in _runs(batches, ["bucket"]):
+            bucket, key, n, pos = (b[c].to_numpy() for c in ("bucket", "key", "n", "pos"))
+            for d in range(1, min(FEW, len(b))):
+                hit = np.flatnonzero(bucket[d:] == bucket[:-d])
+                if not len(hit):
+                    break
+                hit = hit[_possible(n[hit], n[hit + d], pos[hit], pos[hit + d], similarity)]
+                yield pd.DataFrame({"u": np.minimum(key[hit], key[hit + d]), "v": np.maximum(key[hit], key[hit + d])})
 
     def sets(batches):
         for b in batches:
-            yield pd.DataFrame({"node": b["doc_id"], "shingles": [_shingle_set(t, shingle).tobytes() for t in b["text"]]})
+            of = [_shingle_set(t, shingle) for t in b["text"]]
+            yield pd.DataFrame({"key": np.array([_set_key(x) for x in of], np.uint64).view(np.int64), "shingles": [x.tobytes() for x in of]})
 
     def verify(batches):
         for b in batches:
             ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.loc[ok, ["u", "v"]]
 
+    def compare(batches):
+        for b in _runs(batches, ["bucket", "block"]):
+            for _, g in b.groupby(["bucket", "block"], sort=False):
+                key = g["key"].to_numpy()
+                edges = similar_forest([np.frombuffer(x, np.uint64) for x in g["shingles"]], g["root"].to_numpy(), similarity)
+                yield pd.DataFrame({"u": [key[i] for i, _ in edges], "v": [key[j] for _, j in edges]}, dtype=np.int64)
+
+    k = partitions(spark)
+    told = stored(rows.mapInPandas(prefixes, "doc_id long, key long, n long, prefix binary"))
+    small_batches(spark, 4096)
+    vertices = stored(told.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    sigs = vertices.select("key", "n", "prefix").mapInPandas(signatures, "bucket long, key long, n long, pos long")
+    large = stored(sigs.groupBy("bucket").agg(F.count("*").alias("sets")).where(F.col("sets") > FEW))
+    pairs = sigs.join(large, "bucket", "left_anti").repartition(k, "bucket").sortWithinPartitions("bucket", "key").mapInPandas(probe, "u long, v long")
+    big = stored(sigs.join(large, "bucket").select("bucket", "sets", "key"))
+    first = big.join(big.groupBy("bucket").agg(F.min("key").alias("u")), "bucket").where("u <> key").select("u", F.col("key").alias("v"))
+    pairs = stored(pairs.union(first).distinct())
+    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct().join(vertices.select("key", "least"), "key")
+    wanted = stored(wanted.select(F.col("least").alias("wanted")).distinct())
     small_batches(spark)
-    has = stored(rows.join(stored(wanted), F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]))
-    of = lambda c, name: has.select(F.col("node").alias(c), F.col("shingles").alias(name))
-    verified = lambda p: stored(p.join(of("u", "x"), "u").join(of("v", "y"), "v").mapInPandas(verify, "u long, v long"))
-    edges = verified(pairs)
-    first = components(edges)
-    first = stored(first.union(first.select("root", "root").distinct()))
-    both = lambda p: p.select(F.col("u").alias("node"), F.col("v").alias("near")).union(p.select("v", "u"))
-    degree = both(edges).groupBy("node").agg(F.count("*").alias("n"))
-    hubs = first.join(degree, "node").groupBy("root").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"))
-    theirs = first.select(F.col("node").alias("near"), "root").join(hubs, "root")
-    mine = first.select("node", F.col("root").alias("own"))
-    more = both(pairs).join(theirs, "near").join(mine, "node", "left").where("own IS NULL OR own <> root").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).where("u < v")
-    more = stored(more.distinct().join(pairs, ["u", "v"], "left_anti"))
-    comps = components(edges.union(verified(more)))
+    has = stored(rows.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "key long, shingles binary").dropDuplicates(["key"]))
+    of = lambda c, name: has.select(F.col("key").alias(c), F.col("shingles").alias(name))
+    edges = stored(pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").mapInPandas(verify, "u long, v long"))
+    if not large.isEmpty():
+        joined = stored(big.join(components(edges), F.col("key") == F.col("node"), "left").select("bucket", "sets", "key", F.coalesce("root", "key").alias("root")))
+        apart = joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        blocks = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
+        mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
+        block = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(mine, j).cast("long") * (1 << 31) + F.greatest(mine, j)))
+        dealt = joined.join(apart, "bucket").select("bucket", block.alias("block"), "key", "root").join(has, "key")
+        more = dealt.repartition(k, "bucket", "block").sortWithinPartitions("bucket", "block", "key").mapInPandas(compare, "u long, v long")
+        edges = stored(edges.union(more.distinct()))
+    least = lambda c, name: vertices.select(F.col("key").alias(c), F.col("least").alias(name))
+    across = edges.join(least("u", "a"), "u").join(least("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    alike = told.select("doc_id", "key").join(vertices.select("key", "least"), "key").where("doc_id <> least").select("least", "doc_id")
+    comps = components(across.union(alike))
     ids = id_text(docs, text=text, doc_id=doc_id).select("doc_id")
     return ids.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 

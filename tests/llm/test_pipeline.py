@@ -128,3 +128,22 @@ def test_near_copies_are_caught_and_others_stay(spark):
     joined = [i for i in want if want[i] != i]
     assert len(joined) > 30 and sum(got[i] == want[i] for i in joined) >= 0.97 * len(joined)
     assert all(want[i] == got[i] or got[i] == i for i in want)  # nothing is joined that is not alike
+
+
+def _groups(spark, texts):
+    """Components of similar_groups and of brute force over texts (lists of words)."""
+    pairs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = simhash.similar_groups(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)).collect()
+    return {x["doc_id"]: x["component_id"] for x in got}, brute_similar(pairs)
+
+
+def test_appended_and_truncated_copies_equal_brute_force(spark):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(4000)]
+    texts = [[r.choice(vocabulary) for _ in range(r.randint(40, 200))] for _ in range(80)]
+    for t in list(texts):
+        n = len(t)
+        texts.append(t + [r.choice(vocabulary) for _ in range(int(n * r.uniform(0.05, 0.27)))])
+        texts.append(t[: n - int(n * r.uniform(0.05, 0.22))])
+    got, want = _groups(spark, texts)
+    assert got == want and sum(i != c for i, c in want.items()) > 80
