@@ -147,3 +147,28 @@ def test_appended_and_truncated_copies_equal_brute_force(spark):
         texts.append(t[: n - int(n * r.uniform(0.05, 0.22))])
     got, want = _groups(spark, texts)
     assert got == want and sum(i != c for i, c in want.items()) > 80
+
+
+def test_dense_vocabulary_equals_brute_force(spark):
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [[r.choice(some) for _ in range(150)] for some in (r.sample(vocabulary, 37) for _ in range(120))]
+    for t in list(texts):
+        texts.append(t[: r.randint(122, 145)])
+    got, want = _groups(spark, texts)
+    assert got == want and len(set(want.values())) >= 100
+
+
+def test_large_buckets_equal_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):  # families alike, but not near copies of one another
+        t = list(template)
+        for i in r.sample(range(120), 7):
+            t[i] = f"x{r.randrange(10**6)}"
+        texts += [t, t[: r.randint(100, 119)], [f"y{r.randrange(10**6)}", *t]]
+    monkeypatch.setattr(simhash, "FEW", 6)
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 16)
+    got, want = _groups(spark, texts)
+    assert got == want and 20 < len(set(want.values())) < 120
