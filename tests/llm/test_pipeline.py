@@ -172,3 +172,15 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK_SETS", 16)
     got, want = _groups(spark, texts)
     assert got == want and 20 < len(set(want.values())) < 120
+
+
+def test_texts_of_the_same_words_equal_brute_force(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(25)]
+    order = [r.choice(words) for _ in range(200)] + words
+    texts = [sorted(order)]  # the smallest id resembles none of the others
+    for _ in range(6):
+        t = [r.choice(words) for _ in range(200)] + words
+        texts += [t, t + t[:4], t + t[:7]]
+    got, want = _groups(spark, texts)
+    assert got == want and len(set(want.values())) == 7
