@@ -2,7 +2,7 @@
 
 For every row and language the log posterior is the sum of
   text      log-likelihood of the bytes' letter trigrams, learned from labelled
-            documents (a bounded sample), divided by 3 as trigrams overlap;
+            documents (a bounded sample of each language), divided by 3 as trigrams overlap;
   declared  log P(declared markup language | language);
   suffix    log P(address suffix | language);
   host      log prior of the host, smoothed towards its parent, its parent's
@@ -32,6 +32,7 @@ from gridloom.llm.url_filter import host_and_path
 
 BINS = 1 << 15
 SAMPLE = 6000
+PER_LANGUAGE = 300
 KAPPA = 20.0
 MIN_TRIGRAMS = 30
 MIN_POSTERIOR = 0.4
@@ -71,10 +72,16 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, least: int = 5) -> TextModel:
-    """Counts trigrams of about sample labelled documents, taken by a hash of their id."""
+    """Counts trigrams of labelled documents, taken by a hash of their id: of each language about
+    sample over the number of languages, but PER_LANGUAGE at least, or all it has.  Languages of
+    fewer than least documents in the whole table are learnt only if there are no others."""
     rows = id_text(docs, F.col(lang).cast("string").alias("lang"), text=text, doc_id=doc_id).where("lang is not null")
-    share = min(1.0, sample / max(1, rows.select("doc_id").count()))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("labelled")))
+    known = sizes.where(F.col("labelled") >= least)
+    known = sizes if known.isEmpty() else known
+    quota = max(PER_LANGUAGE, sample // max(1, known.count()))
+    share = known.select(F.col("lang").alias("known"), (F.lit(float(quota)) / F.col("labelled") * (1 << 40)).cast("long").alias("share"))
+    rows = rows.join(F.broadcast(share), F.col("lang") == F.col("known")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share")).select("doc_id", "text", "lang")  # share: a row per language
 
     def work(batches):
         sums, seen = {}, {}
@@ -90,7 +97,7 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
 
     small_batches(docs.sparkSession)
     got = rows.mapInPandas(work, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    kept = sorted(got[(got["bin"] == -1) & (got["n"] >= least)]["lang"]) or sorted(set(got["lang"]))
+    kept = sorted(set(got["lang"]))
     counts = np.zeros((BINS, len(kept)))
     for k, l in enumerate(kept):
         g = got[(got["lang"] == l) & (got["bin"] >= 0)]

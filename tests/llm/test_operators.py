@@ -305,6 +305,15 @@ def test_op6(spark, docs, none):
     assert all(r["rejected"] for r in language_id.language_id(language_id.document_rows(docs), unlabelled).collect())
 
 
+def test_language_id_learns_rare_languages_of_a_large_table(spark):
+    texts = [(i, "the thing and the other one of them " * 6, "en") for i in range(2000)] + [(5000 + i, "мы видели большой дом у реки и лес " * 6, "ru") for i in range(8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source")
+    model = language_id.fit_text(docs, sample=100)
+    assert model.languages == ["en", "ru"]
+    got = language_id.language_id(language_id.document_rows(docs), model).where("doc_id >= 5000").collect()
+    assert len(got) == 8 and {(r["language"], r["rejected"]) for r in got} == {("ru", False)}
+
+
 def test_op6_evidence_decides(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit_text(table)
