@@ -5,14 +5,15 @@ from __future__ import annotations
 import ctypes
 import re
 import sys
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import pyarrow
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.storage import stored
+
 #: Functions that go to executors carry this package's code with them; nothing need be installed there.
 cloudpickle.register_pickle_by_value(sys.modules["gridloom"])
 
@@ -21,38 +22,41 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
+#: Rows of an Arrow batch of texts: they can be very long, so few of them go together.
+TEXT_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  A temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def id_text(docs: DataFrame, *more: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and text (null: empty) under their own names, without other columns."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows of an Arrow batch: texts can be very long, so few of them go together."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def mapped(df: DataFrame, work: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",), batch_rows: int = TEXT_ROWS) -> DataFrame:
+    """mapInPandas, its rows kept in the shared folder.  The ids, longs in schema, travel as text:
+    pandas would make doubles of a batch of longs that holds a null."""
+    sent = df.withColumns({c: F.col(c).cast("string") for c in ids if c in df.columns})
+    for c in ids:
+        schema = re.sub(rf"\b{c} long\b", f"{c} string", schema)
+    return stored(sent.mapInPandas(work, schema).withColumns({c: F.col(c).cast("long") for c in ids}), batch_rows)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def sampled(share: Column | float, *of: str) -> Column:
+    """Whether a row is in a sample of that share, by 53 bits of a hash of some columns: no share is
+    so small that it counts as nothing."""
+    return F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") < (share if isinstance(share, Column) else F.lit(share)) * float(1 << 53)
 
 
-def id_text(docs: DataFrame, *more: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and text (null: empty) under their own names, without other columns."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, stored so that it stays, and that column's name: the identity
+    of rows whose ids are null or repeat."""
+    name, taken = "_row", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def lowered(text: str) -> str:

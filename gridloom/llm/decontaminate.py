@@ -1,19 +1,23 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Item and document are compared in lower case with every run of other characters
-than letters and digits as one space.  An item of m characters may be found with
-up to k = m * RATE edits anywhere in a document.  It is cut into k + 1 pieces; an
-occurrence with k edits leaves one piece untouched, so an Aho-Corasick automaton
-over all pieces finds every place where it can be, and Myers' bit-parallel
-distance verifies it there.
-
-Items are taken in blocks of bounded size (BLOCK_CHARS), each block is one pass
-over the documents; no pair of a document and an item is formed before a piece
-is hit.  Documents are not shuffled.
+than letters and digits as one space.  An item of m characters, with a space before
+and after it, may be found with up to k = m * RATE edits anywhere in a document, with
+a space before and after that: matches begin and end with whole words.  The padded
+item is cut into k + 1 pieces; an occurrence with k edits leaves one piece untouched,
+so an Aho-Corasick automaton over all pieces finds every place where it can be, and
+Myers' bit-parallel distance verifies it there.  An item of fewer than SHORT_WORDS
+words is no evidence inside another text: it is found only where it is the whole
+document, with the same budget.
+
+Items are taken in blocks of bounded size (BLOCK_CHARS), each block is one pass over
+the documents whose hits are stored before the next block is fetched; no pair of a
+document and an item is formed before a piece is hit.  Documents are not shuffled.
 
 Edge cases: null and empty texts match nothing, items without letters or digits
-are matched by nothing, repeated items are reported once each, texts of any
-length are scanned whole, empty tables give no rows, other columns are ignored.
+match nothing, repeated items are reported once each, item ids may be of any type,
+texts of any length are scanned whole, empty tables give no rows, other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_text, small_batches, table
+from gridloom.llm.common import id_text, mapped, table
 
 RATE = 0.08
-BLOCK_CHARS = 8_000_000
+SHORT_WORDS = 5
+BLOCK_CHARS = 2_000_000
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -74,14 +80,15 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """Finds a block of (item_id, text) in plain texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[str | None, str]], rate: float = RATE):
         self.items, places = [], {}
         for item_id, text in items:
             item = plain(text)
             if not item:
                 continue
-            k, n = int(len(item) * rate), len(self.items)
-            self.items.append((item_id, item, k, masks(item)))
+            k, n, short = int(len(item) * rate), len(self.items), item.count(" ") + 1 < SHORT_WORDS
+            item = f" {item} "
+            self.items.append((item_id, item, k, masks(item), short))
             for offset, piece in pieces(item, k):
                 places.setdefault(piece, []).append((n, offset))
         self.automaton = ahocorasick.Automaton()
@@ -91,16 +98,19 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not places
 
-    def find(self, text: str) -> Iterator[tuple[int, int, int]]:
+    def find(self, text: str) -> Iterator[tuple[str | None, int, int]]:
         """(item_id, distance, end in the plain text) of each item that occurs."""
         if self.empty or not text:
             return
+        text = f" {text} "
         hits: dict[int, list[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for n, offset in where:
                 hits.setdefault(n, []).append(end + 1 - size - offset)
         for n, starts in sorted(hits.items()):
-            item_id, item, k, peq = self.items[n]
+            item_id, item, k, peq, short = self.items[n]
+            if short and abs(len(text) - len(item)) > k:
+                continue
             best = None
             lo = hi = None
             for s in [*sorted(starts), None]:
@@ -111,17 +121,29 @@ class Matcher:
                     window = text[max(0, lo) : hi]
                     distance, at = (0, found + len(item)) if (found := window.find(item)) >= 0 else myers(peq, len(item), window)
                     if distance <= k and (best is None or distance < best[0]):
-                        best = (distance, max(0, lo) + at)
+                        best = (distance, max(0, max(0, lo) + at - 2))
                 if s is not None:
                     lo, hi = s - k, s + len(item) + k
+            if best and short:  # the whole texts; the distance to a part is not more than that
+                best = (d, len(text) - 2) if (d := edits(item, text)) <= k else None
             if best:
                 yield item_id, *best
 
 
-def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+def edits(a: str, b: str) -> int:
+    """Edit distance of two short texts."""
+    row = list(range(len(a) + 1))
+    for c in b:
+        last, row[0] = row[0], row[0] + 1
+        for i, x in enumerate(a, 1):
+            last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (x != c))
+    return row[-1]
+
+
+def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     block, size = [], 0
     for r in items.toLocalIterator():
-        block.append((r["doc_id"], r["text"]))
+        block.append((r["item_id"], r["text"]))
         size += len(r["text"])
         if size >= limit:
             yield block
@@ -132,22 +154,26 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, distance, end_at: each item that occurs in a document with up to rate edits a character."""
-    small_batches(docs.sparkSession)
+    spark, kind = docs.sparkSession, items.schema[item_id].dataType
     rows = id_text(docs, text=text, doc_id=doc_id)
-    schema = "doc_id long, item_id long, distance long, end_at long"
     out = None
-    for block in _blocks(id_text(items, text=item_text, doc_id=item_id), BLOCK_CHARS):
+    wanted = items.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+    for block in _blocks(wanted, BLOCK_CHARS):
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_CHARS and one item at most
 
-        def work(batches, block=block):
-            matcher = Matcher(block, rate)
+        def work(batches, shared=shared):
+            matcher = Matcher(shared.value, rate)
             for b in batches:
                 found = [(d, *hit) for d, t in zip(b["doc_id"], b["text"], strict=True) for hit in matcher.find(plain(t))]
                 if found:
                     yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "end_at"])
 
-        part = rows.mapInPandas(work, schema)
+        part = mapped(rows, work, "doc_id long, item_id string, distance long, end_at long")
+        shared.unpersist()
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    if out is None:
+        out = spark.createDataFrame([], "doc_id long, item_id string, distance long, end_at long")
+    return out.withColumn("item_id", F.col("item_id").cast(kind))
 
 
 def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_text, small_batches, stored, table
+from gridloom.llm.common import TEXT_ROWS, id_text, mapped, sampled, stored, table
 from gridloom.llm.url_filter import host_and_path
 
 BINS = 1 << 15
@@ -71,17 +71,15 @@ class TextModel:
         return n, total
 
 
-def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, least: int = 5) -> TextModel:
-    """Counts trigrams of labelled documents, taken by a hash of their id: of each language about
-    sample over the number of languages, but PER_LANGUAGE at least, or all it has.  Languages of
-    fewer than least documents in the whole table are learnt only if there are no others."""
+def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> TextModel:
+    """Counts trigrams of labelled documents, taken by a hash of id and text: of each language about
+    sample over the number of languages, but PER_LANGUAGE at least, or all it has.  Every
+    language with a label is learnt."""
     rows = id_text(docs, F.col(lang).cast("string").alias("lang"), text=text, doc_id=doc_id).where("lang is not null")
-    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("labelled")))
-    known = sizes.where(F.col("labelled") >= least)
-    known = sizes if known.isEmpty() else known
+    known = stored(rows.groupBy("lang").agg(F.count("*").alias("labelled")))
     quota = max(PER_LANGUAGE, sample // max(1, known.count()))
-    share = known.select(F.col("lang").alias("known"), (F.lit(float(quota)) / F.col("labelled") * (1 << 40)).cast("long").alias("share"))
-    rows = rows.join(F.broadcast(share), F.col("lang") == F.col("known")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share")).select("doc_id", "text", "lang")  # share: a row per language
+    share = known.select(F.col("lang").alias("known"), (F.lit(float(quota)) / F.col("labelled")).alias("share"))
+    rows = rows.join(F.broadcast(share), F.col("lang") == F.col("known")).where(sampled(F.col("share"), "doc_id", "text")).select("doc_id", "text", "lang")  # share: a row per language
 
     def work(batches):
         sums, seen = {}, {}
@@ -95,8 +93,7 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": l, "bin": np.append(at, -1), "n": np.append(c[at], seen[l])})
 
-    small_batches(docs.sparkSession)
-    got = rows.mapInPandas(work, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    got = stored(rows.mapInPandas(work, "lang string, bin long, n long"), TEXT_ROWS).groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     kept = sorted(set(got["lang"]))
     counts = np.zeros((BINS, len(kept)))
     for k, l in enumerate(kept):
@@ -124,9 +121,8 @@ def _smoothed(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
 def _given(rows: DataFrame, key: str, n: int) -> DataFrame:
     """key -> array of log P(key | language), add-one smoothed."""
     counts = [F.count_if(F.col("vote") == k).cast("double") for k in range(n)]
-    seen = rows.where(F.col(key).isNotNull() & (F.col("vote") >= 0))
-    by = seen.groupBy(key).agg(F.array(*counts).alias("c"))
-    total = seen.agg(F.array(*counts).alias("t"), F.approx_count_distinct(key).cast("double").alias("kinds"))
+    by = rows.where(F.col(key).isNotNull() & (F.col("vote") >= 0)).groupBy(key).agg(F.array(*counts).alias("c"))
+    total = by.agg(F.array(*[F.sum(F.col("c")[k]) for k in range(n)]).alias("t"), F.count("*").cast("double").alias("kinds"))
     return by.crossJoin(F.broadcast(total)).select(key, F.zip_with("c", "t", lambda c, t: F.log((c + 1) / (t + F.col("kinds")))).alias(f"{key}_ll"))  # total: one row
 
 
@@ -144,10 +140,9 @@ def language_id(rows: DataFrame, model: TextModel) -> DataFrame:
             out = b.drop(columns=["text"])
             yield out.assign(ll=ll, size=size, vote=vote, noise=noise)
 
-    small_batches(rows.sparkSession)
     cols = "doc_id long, declared string, suffix string, host string, domain string, zone string"
-    told = rows.select("doc_id", "text", "declared", "suffix", "host", "domain", "zone").mapInPandas(work, f"{cols}, ll array<double>, size long, vote int, noise boolean")
-    told = stored(told)
+    told = rows.select("doc_id", "text", "declared", "suffix", "host", "domain", "zone")
+    told = mapped(told, work, f"{cols}, ll array<double>, size long, vote int, noise boolean")
     zero = F.array(*[F.lit(0.0)] * max(1, n))
     add = lambda a, b: F.zip_with(a, F.coalesce(b, zero), lambda x, y: x + y)
     if n:

@@ -3,10 +3,12 @@
 Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and
 share 150 % of all words; no source gives more than twice its words, the excess
 is shared again by weight (water filling).  A source's rate target / size is
-split into certain whole copies and an inclusion probability p for one more
-copy.  Documents are ranked by q = odds(u) / odds(p), u a reproducible uniform
-number, and are taken in that order until the words left to the source are
-used; the document on the border is taken if that comes nearer to the target.
+split into certain whole copies and a probability p for one more copy.  The
+inclusion odds of a document are odds(p) times min(1, (words + 1) / FULL_WORDS):
+short documents, which say little, are included with lower probability.  Documents
+are ranked by q = odds(u) / inclusion odds, u a reproducible uniform number, and
+are taken in that order until the words left to the source are used; the document
+on the border is taken if that comes nearer to the target.
 
 The running sum over a source is found digit by digit: words are summed by the
 leading twelve bits of the rank, the digit that holds the border is refined by
@@ -14,8 +16,10 @@ the next twelve, and only rows of the last border digit are ordered.  No source,
 however large, meets in one task.
 
 Edge cases: null text has size 0 and is taken 0 words; an empty table or one
-without words gives targets of 0; repeated rows are ranked alike and ordered by
-size; null doc_ids hash as empty text; extra columns are dropped.
+without words gives targets of 0; u follows from id and text, so rows of one id, or
+without any, are ranked apart, and only rows that repeat both are ranked alike;
+sources are one row each on the driver's side, as many as there are; extra columns
+are dropped.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from gridloom.llm.common import WORD, id_text, stored, table
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
+FULL_WORDS = 128
 DIGIT = 4096
 DIGITS = 2
 
@@ -54,24 +59,25 @@ def source_targets(sizes: DataFrame, total_share: float = TOTAL_SHARE, max_repea
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def uniform(key: Column) -> Column:
-    """A reproducible number in (0, 1): 48 bits of the MD5 of the key."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double")
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A reproducible number in (0, 1): 48 bits of the MD5 of the id and the text's MD5."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
+    bits = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double")
     return (bits + 0.5) / float(1 << 48)
 
 
 def pareto_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes), copies, and the columns keep."""
     rows = id_text(docs, F.col(source).cast("string").alias("source"), *[F.col(c).alias(f"keep_{c}") for c in keep], text=text, doc_id=doc_id)
-    rows = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), *[f"keep_{c}" for c in keep])
+    rows = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("u"), *[f"keep_{c}" for c in keep])
     rows = stored(rows)
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     targets = stored(targets.withColumn("p", F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(0.0)).coalesce(1))
 
-    u = uniform(F.col("doc_id"))
-    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    u, w = F.col("u"), F.least(F.lit(1.0), (F.col("size") + 1) / F.lit(float(FULL_WORDS)))
+    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")) * w)
     drawn = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # rank: q brought to (0, 1) in the same order; 1 where nothing more is to be taken
     drawn = drawn.withColumn("rank", F.when(F.col("p") > 0, q / (1 + q)).otherwise(1.0))
@@ -106,7 +112,7 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), k AS (
@@ -126,10 +132,10 @@ WITH d AS (
 ), p2 AS (
   SELECT *, target - whole * source_size AS left_, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM p
 ), u AS (
-  SELECT d.doc_id, d.size, p2.*, (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+  SELECT d.doc_id, d.size, p2.*, (('0x' || substr(d.digest, 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM d JOIN p2 ON d.source IS NOT DISTINCT FROM p2.source
 ), q AS (
-  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE 1 END AS q FROM u
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p) * least(1.0::DOUBLE, (size + 1) / 128.0::DOUBLE)) ELSE 1 END AS q FROM u
 ), c AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM q
 ), e AS (

@@ -2,30 +2,36 @@
 
 A document is a bag of passages of PASSAGE bytes.  A passage is encoded by the
 square roots of the shares of its pairs of neighbouring byte classes, the share
-of distinct byte trigrams, and its length; a learned layer maps it to h.  Gated
-attention a_k = softmax_k(w . (tanh(V h_k) * sigmoid(U h_k))) weighs the passages,
-and the document's score is the logistic of c . sum_k a_k h_k.  All weights are
-learned from document labels, on the driver, from a sample of at most SAMPLE
-labelled documents with at most TRAIN_PASSAGES evenly spaced passages each;
-scoring reads every passage of every document.
+of distinct byte trigrams, and its length, each in 255 steps; a learned layer maps
+it to h.  Gated attention a_k = softmax_k(w . (tanh(V h_k) * sigmoid(U h_k))) weighs
+the passages, and the document's score is the logistic of c . sum_k a_k h_k.  All
+weights are learned from document labels, on the driver, from a bounded sample: at
+most SAMPLE labelled documents of at most SAMPLE_PASSAGES passages together, each
+with all its passages.  Scoring reads every passage of every document, BLOCK
+passages at a time: of a document only the softmax's running maximum and sums are
+kept, so a text of any length takes the same memory beside its own bytes.
 
 Edge cases: null and empty texts are one empty passage; without labels the score
-is 0.5, with labels of one kind their mean; null labels are skipped; repeated
-rows are scored alike; an empty table gives none; a null doc_id counts as "".
+is 0.5, with labels of one kind their mean; null labels are skipped; of several
+labels of one id the greatest counts; repeated rows are scored alike; an empty table
+gives none; a null doc_id counts as "".
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_text, small_batches, table
+from gridloom.llm.common import id_text, mapped, sampled, stored, table
 
 PASSAGE = 400
 SAMPLE = 4000
-TRAIN_PASSAGES = 48
+SAMPLE_PASSAGES = 40_000
+BLOCK = 512
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 12, 24, 32, 0.004, 1e-4, 7
 
 #: Byte classes: space, line end, lower, upper, digit, other letters' bytes, and each ASCII sign.
@@ -39,35 +45,30 @@ _CLASS[128:] = 5
 for _i, _c in enumerate(_SIGNS):
     _CLASS[ord(_c)] = 6 + _i
 CLASSES = 6 + len(_SIGNS)
-WIDTH = CLASSES * CLASSES + 3
+WIDTH = CLASSES * CLASSES + 2
 
 
-def encode(text: str | None, most: int | None = None) -> np.ndarray:
-    """Passages by features.  With most: that many passages, evenly spaced (training only)."""
+def encode(text: str | None) -> Iterator[np.ndarray]:
+    """Passages by features in steps of 1 / 255, BLOCK passages at a time.  A passage's last pair and
+    trigrams reach into the next passage."""
     raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    count = max(1, -(-len(raw) // PASSAGE))
-    if most and count > most:
-        chosen = np.linspace(0, count - 1, most).astype(np.int64)
-        raw = np.concatenate([raw[i * PASSAGE : (i + 1) * PASSAGE] for i in chosen])
-        count = max(1, -(-len(raw) // PASSAGE))
-    out = np.zeros((count, WIDTH), np.float32)
-    if len(raw) < 2:
-        return out
-    c = _CLASS[raw]
-    passage = np.arange(len(raw) - 1) // PASSAGE
-    pairs = np.bincount(passage * CLASSES * CLASSES + c[:-1] * CLASSES + c[1:], minlength=count * CLASSES * CLASSES)
-    pairs = pairs.reshape(-1, CLASSES * CLASSES)[:count].astype(np.float32)
-    size = np.maximum(pairs.sum(axis=1, keepdims=True), 1)
-    out[:, :-3] = np.sqrt(pairs / size)
-    x = raw.astype(np.int64)
-    grams = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:] if len(raw) > 2 else np.zeros(0, np.int64)
-    if len(grams):
-        keys = np.unique((np.arange(len(grams)) // PASSAGE << 24) | grams)
-        distinct = np.bincount(keys >> 24, minlength=count)[:count]
-        out[:, -3] = distinct / size[:, 0]
-        out[:, -2] = len(np.unique(grams)) / len(grams)
-    out[:, -1] = size[:, 0] / PASSAGE
-    return out
+    for i in range(0, max(1, len(raw)), BLOCK * PASSAGE):
+        piece = raw[i : i + BLOCK * PASSAGE + 2]
+        count = max(1, -(-min(BLOCK * PASSAGE, len(raw) - i) // PASSAGE))
+        out = np.zeros((count, WIDTH), np.float32)
+        c, n = _CLASS[piece], count * PASSAGE
+        first = np.arange(min(n, max(0, len(piece) - 1)))
+        pairs = np.bincount((first // PASSAGE * CLASSES + c[first]) * CLASSES + c[first + 1], minlength=count * CLASSES * CLASSES) if len(first) else np.zeros(count * CLASSES * CLASSES)
+        pairs = pairs.reshape(count, -1).astype(np.float32)
+        size = np.maximum(pairs.sum(axis=1), 1)
+        out[:, :-2] = np.sqrt(pairs / size[:, None])
+        first = np.arange(min(n, max(0, len(piece) - 2)))
+        if len(first):
+            x = piece.astype(np.int64)
+            keys = np.unique((first // PASSAGE << 24) | (x[first] << 16) | (x[first + 1] << 8) | x[first + 2])
+            out[:, -2] = np.bincount(keys >> 24, minlength=count) / size
+        out[:, -1] = size / PASSAGE
+        yield np.round(out * 255).astype(np.uint8)
 
 
 def _sigmoid(x):
@@ -83,24 +84,56 @@ class AttentionMIL:
         self.p = {"W": g(WIDTH, HIDDEN) * 3, "b": np.zeros(HIDDEN, np.float32), "V": g(HIDDEN, GATE), "U": g(HIDDEN, GATE), "w": g(GATE), "c": g(HIDDEN), "d": np.zeros(1, np.float32)}
         self.prior, self.trained = prior, False
 
-    def forward(self, x: np.ndarray, start: np.ndarray):
-        """x: passages of several documents one after another, start: where each begins."""
+    def hidden(self, x: np.ndarray):
         p = self.p
         h = np.tanh(x @ p["W"] + p["b"])
         tv, su = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = (tv * su) @ p["w"]
+        return h, tv, su, (tv * su) @ p["w"]
+
+    def forward(self, x: np.ndarray, start: np.ndarray):
+        """x: passages of several documents one after another, start: where each begins."""
+        p = self.p
+        h, tv, su, e = self.hidden(x)
         size = np.diff(np.append(start, len(x)))
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, start), size))
         a = e / np.repeat(np.add.reduceat(e, start), size)
         z = np.add.reduceat(h * a[:, None], start)
         return h, tv, su, a, size, z, _sigmoid(z @ p["c"] + p["d"])
 
-    def score(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    def scores(self, texts) -> np.ndarray:
+        """Scores of texts, by blocks of passages; a block may hold several texts, a text several blocks."""
+        n = len(texts)
         if not self.trained:
-            return np.full(len(start), self.prior)
-        return self.forward(x, start)[-1].astype(np.float64)
+            return np.full(n, self.prior)
+        most, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
+        held, of, size = [], [], 0
+
+        def settle():
+            h, _, _, e = self.hidden(np.concatenate(held).astype(np.float32) / 255)
+            doc = np.concatenate(of)
+            start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            d = doc[start]
+            now = np.maximum(most[d], np.maximum.reduceat(e, start))
+            w = np.exp(e - np.repeat(now, np.diff(np.append(start, len(doc)))))
+            old = np.exp(most[d] - now)
+            total[d] = total[d] * old + np.add.reduceat(w, start)
+            z[d] = z[d] * old[:, None] + np.add.reduceat(h * w[:, None], start)
+            most[d] = now
+
+        for i, t in enumerate(texts):
+            for x in encode(t):
+                held.append(x)
+                of.append(np.full(len(x), i))
+                size += len(x)
+                if size >= BLOCK:
+                    settle()
+                    held, of, size = [], [], 0
+        if held:
+            settle()
+        return _sigmoid(z / total[:, None] @ self.p["c"].astype(np.float64) + float(self.p["d"][0]))
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray) -> AttentionMIL:
+        """bags: what encode yields for a text, in one piece."""
         self.prior = float(y.mean()) if len(y) else 0.5
         if len(set(y.tolist())) < 2:
             return self
@@ -112,7 +145,7 @@ class AttentionMIL:
             order = rng.permutation(len(bags))
             for i in range(0, len(order), BATCH):
                 pick = order[i : i + BATCH]
-                x = np.concatenate([bags[j] for j in pick])
+                x = np.concatenate([bags[j] for j in pick]).astype(np.float32) / 255
                 start = np.cumsum([0, *[len(bags[j]) for j in pick[:-1]]])
                 h, tv, su, a, size, z, s = self.forward(x, start)
                 dz_out = ((s - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
@@ -142,22 +175,28 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, sample: int = SAMPLE) -> AttentionMIL:
-    """Learns from labelled documents that are not held out."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, sample: int = SAMPLE, most: int = SAMPLE_PASSAGES) -> AttentionMIL:
+    """Learns from labelled documents that are not held out, chosen by a hash of their ids: at most
+    sample of them, and as many as have most passages together."""
     known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col(label).cast("int").alias("y")).where("y is not null")
-    known = known.where(remainder(F.col("labelled"), folds) != held).dropDuplicates(["labelled"])
-    share = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.where(remainder(F.col("labelled"), folds) != held).groupBy("labelled").agg(F.max("y").alias("y"))
+    known = known.where(sampled(1.2 * sample / max(1, known.count()), "labelled")).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
+    rows = id_text(docs).join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))  # sample rows at most
+    rows = stored(rows.select("doc_id", "text", "y", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("passages")))
+    sizes = rows.select("doc_id", "passages").groupBy("doc_id").agg(F.sum("passages").alias("passages")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # sample rows at most
+    chosen, left = [], most
+    for r in sizes:
+        if r["passages"] <= left:
+            chosen.append(r["doc_id"])
+            left -= r["passages"]
 
     def work(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [np.round(encode(t, TRAIN_PASSAGES) * 255).astype(np.uint8).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [b"".join(x.tobytes() for x in encode(t)) for t in b["text"]]})
 
-    small_batches(spark)
-    rows = id_text(docs).join(known, F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "y")
-    got = rows.mapInPandas(work, "doc_id long, y int, x binary").toPandas().sort_values("doc_id", kind="stable")
-    bags = [np.frombuffer(x, np.uint8).reshape(-1, WIDTH).astype(np.float32) / 255 for x in got["x"]]
+    got = mapped(rows.where(F.col("doc_id").isin(chosen)).select("doc_id", "text", "y"), work, "doc_id long, y int, x binary").toPandas()
+    got = got.sort_values(["doc_id", "x"], kind="stable")
+    bags = [np.frombuffer(x, np.uint8).reshape(-1, WIDTH) for x in got["x"]]
     return AttentionMIL().fit(bags, (got["y"].to_numpy() > 0).astype(np.float32))
 
 
@@ -166,14 +205,9 @@ def quality_scores(docs: DataFrame, model: AttentionMIL, folds: int = 3, held: i
 
     def work(batches):
         for b in batches:
-            out = []
-            for t in b["text"]:
-                x = encode(t)
-                out.append(float(model.score(x, np.array([0]))[0]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.array(out, dtype=np.float64)})
-
-    small_batches(docs.sparkSession)
-    scored = id_text(docs).mapInPandas(work, "doc_id long, score double")
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.scores(b["text"])})
+
+    scored = mapped(id_text(docs), work, "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

@@ -30,18 +30,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import byte_words, id_text, partitions, small_batches, stored, table
+from gridloom.llm.common import TEXT_ROWS, byte_words, id_text, mapped, partitions, sampled, stored, table
 from gridloom.llm.components import components
 
 TAU = 4
 SEED = 42
 BLOCK = 8192
 SAMPLE = 20_000
+NUMBER_ROWS, SET_ROWS = 20_000, 4096  # of an Arrow batch of numbers, of prefixes of sets
 #: similar_groups: sets of a bucket whose pairs are listed; sets of a block; frequent shingles and texts sampled for them.
 FEW = 64
 BLOCK_SETS = 512
 FREQUENT = 200_000
 FREQUENT_SAMPLE = 8000
+SLOTS = 1 << 20  # of a filter of ids, in bits
 _SLICE = 1 << 16
 
 
@@ -70,8 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
-    small_batches(docs.sparkSession)
-    return id_text(docs, text=text, doc_id=doc_id).mapInPandas(work, "doc_id long, fp long")
+    return mapped(id_text(docs, text=text, doc_id=doc_id), work, "doc_id long, fp long")
 
 
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -119,7 +120,7 @@ def plan(sample: np.ndarray, total: int, tau: int = TAU) -> list[tuple[list[int]
     sample = np.unique(sample)
     scale = (total / max(1, len(sample))) ** 2
     best = None
-    for m in range(3, min(tau + 1, 8) + 1):
+    for m in range(min(2, tau + 1), min(tau + 1, 8) + 1):
         groups, need = bit_groups(sample, m), tau - m + 1
         costs = []
         for bits in groups:
@@ -182,6 +183,8 @@ def _dense(fp: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
 def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
     """u, v: edges whose components are those of all links between the distinct fingerprints in fp."""
     spark = fps.sparkSession
+    if tau < 1:  # equal fingerprints are one vertex
+        return spark.createDataFrame([], "u long, v long")
     total = fps.count()
     sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     parts = [(bits, flips(len(bits), t)) for bits, t in plan(sample, total, tau)]
@@ -196,8 +199,7 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
                     take = (keys & np.uint64(int(mask) & -int(mask))) != 0 if mask else slice(None)
                     yield pd.DataFrame({"bucket": ((keys[take] ^ mask) | np.uint64(i << 32)).view(np.int64), "fp": fp[take]})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    sigs = stored(fps.select("fp").mapInPandas(signatures, "bucket long, fp long"))
+    sigs = stored(fps.select("fp").mapInPandas(signatures, "bucket long, fp long"), NUMBER_ROWS)
     sizes = sigs.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
     dealt = sigs.join(sizes, "bucket", "left")
@@ -248,12 +250,12 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
             u, v = bucket_edges(held["bucket"].to_numpy(), held["block"].to_numpy(), held["fp"].to_numpy(np.int64).view(np.uint64))
             yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return dealt.mapInPandas(probe, "u long, v long").distinct()
+    return stored(dealt.mapInPandas(probe, "u long, v long"), NUMBER_ROWS).distinct()
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, tau: int = TAU, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links)."""
-    fps = stored(fingerprints(docs, shingle, text, doc_id))
+    fps = fingerprints(docs, shingle, text, doc_id)
     vertices = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comps = components(links(vertices, tau))
     rooted = vertices.join(comps, vertices["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -361,19 +363,52 @@ def _runs(batches, keys: list[str]):
 
 def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that many texts of a bounded sample have, and in how many."""
-    share = min(1.0, FREQUENT_SAMPLE / max(1, rows.count()))
+    share = FREQUENT_SAMPLE / max(1, rows.count())
 
     def work(batches):
         for b in batches:
             yield pd.DataFrame({"token": np.concatenate([_shingle_set(t, shingle) for t in b["text"]] or [np.zeros(0, np.uint64)]).view(np.int64)})
 
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    got = some.mapInPandas(work, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 5").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    some = rows.where(sampled(share, "doc_id", "text"))
+    got = stored(some.mapInPandas(work, "token long"), TEXT_ROWS).groupBy("token").agg(F.count("*").alias("n")).where("n > 5").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     token, n = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     order = np.argsort(token)
     return token[order], n[order]
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the shingles, as many residues as the next power of two: whether an odd
+    number of shingles has it.  Two sets' parities differ in no more bits than the sets in shingles."""
+    size = 64
+    while size < len(shingles):
+        size *= 2
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of parities differ; the longer ones are folded to the shorter ones."""
+    while a.shape[-1] > b.shape[-1]:
+        a = a[..., : a.shape[-1] // 2] ^ a[..., a.shape[-1] // 2 :]
+    while b.shape[-1] > a.shape[-1]:
+        b = b[..., : b.shape[-1] // 2] ^ b[..., b.shape[-1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def may_differ(nx, ny, similarity: float):
+    """The most shingles in which two sets of the similarity can differ."""
+    return np.floor((nx + ny) * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def _slots(ids: DataFrame, name: str) -> np.ndarray:
+    """Which of SLOTS hash values the ids have: a filter of fixed size that lets every id pass.  It spares
+    cost where the ids are few beside SLOTS."""
+    got = ids.select(F.pmod(F.xxhash64(name), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"]  # SLOTS rows at most
+    bits = np.zeros(SLOTS, np.uint8)
+    bits[got.to_numpy(np.int64)] = 1
+    return np.packbits(bits)
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, component_id: groups of documents whose shingles' Jaccard similarity is similarity or more.
 
@@ -381,50 +416,91 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     first; two sets of the similarity share one of their first n - ceil(similarity n) + 1
     shingles, so every such pair meets in a bucket of one of these.  The order
     (a bounded sample tells the frequent shingles) steers cost only.  Equal sets are one
-    vertex, named by 64 bits of hash as the shingles are.  In a bucket of up to FEW
-    sets every pair whose sizes and positions allow the similarity is verified on the
-    full sets.  In a larger one all are verified with one of them; if that leaves several
-    components, every two sets of different components are then compared in blocks
-    of BLOCK_SETS, and a spanning forest of the verified pairs is returned.  Only
-    documents that have a candidate are moved.  Null doc_ids stand alone.
+    vertex, named by 64 bits of hash as the shingles are.
+
+    Of a bucket of up to FEW sets every pair whose sizes and positions allow the
+    similarity is a candidate, of a larger one every set with its first.  Buckets of
+    frequent shingles are counted before they are dealt out, so a hot one never meets in
+    one task.  Candidates are tested by parities, some bits for each shingle of the
+    set, which rule out nearly all that are not alike and none that are; the rest is
+    verified on the full sets, first one pair for each set, then those that this has not
+    joined.  Large buckets that are then still in several components are compared in
+    blocks of BLOCK_SETS: parities tell the sets that may have a partner of another
+    component in the block, and only these are compared in full; a spanning forest of the
+    verified pairs is kept.  Only documents that pass a test by parities are moved.
+    doc_id must tell the rows apart (see common.numbered); rows where it is null stand alone.
     """
     spark = docs.sparkSession
     rows = id_text(docs, text=text, doc_id=doc_id).where("doc_id IS NOT NULL")
-    small_batches(spark)
     frequent, often = _frequent(rows, shingle)
 
     def prefixes(batches):
         for b in batches:
             sets = [_shingle_set(t, shingle) for t in b["text"]]
             key = np.array([_set_key(x) for x in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "n": [len(x) for x in sets], "prefix": [prefix(x, similarity, frequent, often).tobytes() for x in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "n": [len(x) for x in sets], "prefix": [prefix(x, similarity, frequent, often).tobytes() for x in sets], "bits": [parity(x).tobytes() for x in sets]})
 
     def signatures(batches):
         for b in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in b["prefix"]]
+            tokens = [np.frombuffer(x, np.uint64) for x in b["prefix"]]
             size = [len(x) for x in tokens]
             if sum(size):
-                yield pd.DataFrame({"bucket": np.concatenate(tokens), "key": np.repeat(b["key"].to_numpy(), size), "n": np.repeat(b["n"].to_numpy(), size), "pos": np.concatenate([np.arange(k) for k in size])})
+                bucket = np.concatenate(tokens)
+                hot = frequent[np.minimum(np.searchsorted(frequent, bucket), len(frequent) - 1)] == bucket if len(frequent) else np.zeros(len(bucket), bool)
+                yield pd.DataFrame({"bucket": bucket.view(np.int64), "key": np.repeat(b["key"].to_numpy(), size), "n": np.repeat(b["n"].to_numpy(), size), "pos": np.concatenate([np.arange(k) for k in size]), "hot": hot})
 
     def probe(batches):
+        """Pairs (u, v) of small buckets; members u of large ones with the bucket and its size."""
         for b in _runs(batches, ["bucket"]):
-            bucket, key, n, pos = (b[c].to_numpy() for c in ("bucket", "key", "n", "pos"))
-            for d in range(1, min(FEW, len(b))):
+            bucket = b["bucket"].to_numpy()
+            begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            size = np.repeat(sizes := np.diff(np.append(begin, len(bucket))), sizes)
+            key, n, pos = (b[c].to_numpy() for c in ("key", "n", "pos"))
+            large = size > FEW
+            if large.any():
+                yield pd.DataFrame({"u": key[large], "v": key[large], "bucket": bucket[large], "sets": size[large]})
+            some = (size > 1) & ~large
+            bucket, key, n, pos = bucket[some], key[some], n[some], pos[some]
+            for d in range(1, min(FEW, len(bucket))):
                 hit = np.flatnonzero(bucket[d:] == bucket[:-d])
                 if not len(hit):
                     break
                 hit = hit[_possible(n[hit], n[hit + d], pos[hit], pos[hit + d], similarity)]
-                yield pd.DataFrame({"u": np.minimum(key[hit], key[hit + d]), "v": np.maximum(key[hit], key[hit + d])})
+                yield pd.DataFrame({"u": np.minimum(key[hit], key[hit + d]), "v": np.maximum(key[hit], key[hit + d]), "bucket": 0, "sets": 0}, dtype=np.int64)
 
-    def sets(batches):
+    def prune(batches):
         for b in batches:
-            of = [_shingle_set(t, shingle) for t in b["text"]]
-            yield pd.DataFrame({"key": np.array([_set_key(x) for x in of], np.uint64).view(np.int64), "shingles": [x.tobytes() for x in of]})
+            nx, ny = b["nx"].to_numpy(), b["ny"].to_numpy()
+            far = np.array([apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["x"], b["y"], strict=True)], np.int64)
+            ok = (far <= may_differ(nx, ny, similarity)) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny) - 1e-9)
+            yield b.loc[ok, ["u", "v"]]
 
     def verify(batches):
         for b in batches:
             ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b["x"], b["y"], strict=True)]
-            yield b.loc[ok, ["u", "v"]]
+            yield b.loc[np.array(ok, bool), ["u", "v"]]
+
+    def active(batches):
+        """Members of a block that may be alike to one of another component in it."""
+        for b in _runs(batches, ["bucket", "block"]):
+            for (bucket, block), g in b.groupby(["bucket", "block"], sort=False):
+                n, root, key = (g[c].to_numpy() for c in ("n", "root", "key"))
+                raw = [np.frombuffer(x, np.uint64) for x in g["bits"]]
+                found = np.zeros(len(g), bool)
+                width = np.array([len(x) for x in raw])
+                for w in np.unique(width):  # by length of parity; those of other lengths cannot be alike beyond the next one
+                    mine = np.flatnonzero(width == w)
+                    for w2 in (w, 2 * w):
+                        others = np.flatnonzero(width == w2)
+                        if not len(others):
+                            continue
+                        stack = np.stack([raw[j] for j in others])
+                        for i in mine.tolist():
+                            near = (apart(stack, raw[i][None, :]) <= may_differ(n[i], n[others], similarity)) & (root[others] != root[i])
+                            found[others[near]] = True
+                            found[i] |= near.any()
+                if found.any():
+                    yield pd.DataFrame({"bucket": bucket, "block": block, "key": key[found], "root": root[found]})
 
     def compare(batches):
         for b in _runs(batches, ["bucket", "block"]):
@@ -433,31 +509,58 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
                 edges = similar_forest([np.frombuffer(x, np.uint64) for x in g["shingles"]], g["root"].to_numpy(), similarity)
                 yield pd.DataFrame({"u": [key[i] for i, _ in edges], "v": [key[j] for _, j in edges]}, dtype=np.int64)
 
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """key, shingles of the vertices in keys, from the texts."""
+        wanted = stored(keys.distinct().join(vertices.select("key", "least"), "key").select(F.col("least").alias("wanted")))
+        slots = _slots(wanted, "wanted")
+
+        def sets(batches):
+            for b in batches:
+                b = b[(slots[b["slot"].to_numpy() >> 3] >> (7 - (b["slot"].to_numpy() & 7))) & 1 == 1]
+                if len(b):
+                    of = [_shingle_set(t, shingle) for t in b["text"]]
+                    yield pd.DataFrame({"doc_id": b["doc_id"], "key": np.array([_set_key(x) for x in of], np.uint64).view(np.int64), "shingles": [x.tobytes() for x in of]})
+
+        numbers = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int"))
+        found = numbers.mapInPandas(sets, "doc_id long, key long, shingles binary")  # no doc_id is null
+        return stored(found.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").select("key", "shingles"), TEXT_ROWS)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        has = sets_of(pairs.select(F.col("u").alias("key")).union(pairs.select("v")))
+        of = lambda c, name: has.select(F.col("key").alias(c), F.col("shingles").alias(name))
+        return stored(pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").mapInPandas(verify, "u long, v long"), TEXT_ROWS)
+
     k = partitions(spark)
-    told = stored(rows.mapInPandas(prefixes, "doc_id long, key long, n long, prefix binary"))
-    small_batches(spark, 4096)
-    vertices = stored(told.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    sigs = vertices.select("key", "n", "prefix").mapInPandas(signatures, "bucket long, key long, n long, pos long")
-    large = stored(sigs.groupBy("bucket").agg(F.count("*").alias("sets")).where(F.col("sets") > FEW))
-    pairs = sigs.join(large, "bucket", "left_anti").repartition(k, "bucket").sortWithinPartitions("bucket", "key").mapInPandas(probe, "u long, v long")
-    big = stored(sigs.join(large, "bucket").select("bucket", "sets", "key"))
-    first = big.join(big.groupBy("bucket").agg(F.min("key").alias("u")), "bucket").where("u <> key").select("u", F.col("key").alias("v"))
-    pairs = stored(pairs.union(first).distinct())
-    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct().join(vertices.select("key", "least"), "key")
-    wanted = stored(wanted.select(F.col("least").alias("wanted")).distinct())
-    small_batches(spark)
-    has = stored(rows.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "key long, shingles binary").dropDuplicates(["key"]))
-    of = lambda c, name: has.select(F.col("key").alias(c), F.col("shingles").alias(name))
-    edges = stored(pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").mapInPandas(verify, "u long, v long"))
-    if not large.isEmpty():
+    told = mapped(rows, prefixes, "doc_id long, key long, n long, prefix binary, bits binary")
+    vertices = stored(told.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    sigs = vertices.select("key", "n", "prefix").mapInPandas(signatures, "bucket long, key long, n int, pos int, hot boolean")
+    hot = stored(sigs.where("hot").drop("hot"), SET_ROWS)
+    large = stored(hot.groupBy("bucket").agg(F.count("*").alias("sets")).where(F.col("sets") > FEW))  # FREQUENT rows at most
+    cold = sigs.where("NOT hot").drop("hot").unionByName(hot.join(F.broadcast(large), "bucket", "left_anti"))
+    probed = stored(cold.repartition(k, "bucket").sortWithinPartitions("bucket", "key").mapInPandas(probe, "u long, v long, bucket long, sets long"), SET_ROWS)
+    big = hot.join(F.broadcast(large), "bucket").select("bucket", "sets", "key").unionByName(probed.where("u = v").select("bucket", "sets", F.col("u").alias("key")))
+    big = stored(big)
+    star = big.join(big.groupBy("bucket").agg(F.min("key").alias("u")), "bucket").where("u <> key").select("u", F.col("key").alias("v"))
+    pairs = probed.where("u <> v").select("u", "v").union(star).distinct()
+    of = lambda c, n, name: vertices.select(F.col("key").alias(c), F.col("n").alias(n), F.col("bits").alias(name))
+    pairs = stored(pairs.join(of("u", "nx", "x"), "u").join(of("v", "ny", "y"), "v").mapInPandas(prune, "u long, v long"), SET_ROWS)
+    edges = verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    roots = components(edges)
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    left = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    edges = stored(edges.union(verified(stored(left))))
+    if not big.isEmpty():
         joined = stored(big.join(components(edges), F.col("key") == F.col("node"), "left").select("bucket", "sets", "key", F.coalesce("root", "key").alias("root")))
-        apart = joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        several = joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         blocks = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
         mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
         block = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(mine, j).cast("long") * (1 << 31) + F.greatest(mine, j)))
-        dealt = joined.join(apart, "bucket").select("bucket", block.alias("block"), "key", "root").join(has, "key")
-        more = dealt.repartition(k, "bucket", "block").sortWithinPartitions("bucket", "block", "key").mapInPandas(compare, "u long, v long")
-        edges = stored(edges.union(more.distinct()))
+        dealt = joined.join(several, "bucket").select("bucket", block.alias("block"), "key", "root").join(vertices.select("key", "n", "bits"), "key")
+        maybe = stored(dealt.repartition(k, "bucket", "block").sortWithinPartitions("bucket", "block", "key").mapInPandas(active, "bucket long, block long, key long, root long"), SET_ROWS)
+        if not maybe.isEmpty():
+            dealt = maybe.join(sets_of(maybe.select("key")), "key")
+            more = dealt.repartition(k, "bucket", "block").sortWithinPartitions("bucket", "block", "key").mapInPandas(compare, "u long, v long")
+            edges = stored(edges.union(more.distinct()), TEXT_ROWS)
     least = lambda c, name: vertices.select(F.col("key").alias(c), F.col("least").alias(name))
     across = edges.join(least("u", "a"), "u").join(least("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     alike = told.select("doc_id", "key").join(vertices.select("key", "least"), "key").where("doc_id <> least").select("least", "doc_id")

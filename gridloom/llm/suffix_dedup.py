@@ -11,8 +11,8 @@ anchors as bytes.
    a bit each: does the gram occur in more than one document?
 3  A batch sends the contexts of those anchors (the bytes of the windows they
    stand for) to shards, distinct ones once, with the smallest doc_id.
-4  A shard sorts the contexts' suffixes from the anchor on: multikey quicksort,
-   a word of eight bytes for a character, to SHALLOW bytes; then blind tries for
+4  A shard sorts the contexts' suffixes from the anchor on: multikey quicksort
+   (three-way, eight bytes to a character) to SHALLOW bytes; then blind tries for
    the groups that are still together.  From the order and its common prefixes,
    windows at each offset fall into classes of equal strings; the answer is each
    class's smallest doc_id.
@@ -39,13 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_text, release, small_batches, stored, table
+from gridloom.llm.common import TEXT_ROWS, id_text, release, stored, table
 
 WINDOW = 50
 GRAM = 24
 SHALLOW = GRAM
 SPAN = WINDOW - GRAM + 1  # grams of a window, and offsets of an anchor
 BATCH = 1_000_000
+PACK_ROWS = 4  # packs of texts in an Arrow batch
 SHARD_BYTES = 16_000_000  # of text to a shard
 HASH_BYTES = 5
 LAST = (1 << 63) - 1
@@ -131,20 +132,22 @@ class Batch:
         self.runs = Runs(self.buf, self.starts, self.sizes)
 
     def hashes(self, shards: int):
-        """Distinct anchor hashes, whether each is in several documents here, where each shard's begin, and each run's place."""
+        """Distinct anchor hashes, whether each is in several documents here, the shards they go to, where
+        each shard's begin, and each run's place."""
         distinct, back = np.unique(self.runs.hash, return_inverse=True)
         n = len(distinct)
         low, high = np.full(n, len(self.ids)), np.full(n, -1)
         np.minimum.at(low, back, self.runs.doc)
         np.maximum.at(high, back, self.runs.doc)
-        return distinct, low != high, np.searchsorted(_shard(distinct, shards), np.arange(shards + 1)), back
+        present, first = np.unique(_shard(distinct, shards), return_index=True)
+        return distinct, low != high, present, np.append(first, n), back
 
     def entries(self, shards: int, bits: dict[int, bytes]) -> Entries:
         """Distinct contexts of the anchors that are in several documents, by shard."""
-        distinct, _, cut, back = self.hashes(shards)
+        distinct, _, present, cut, back = self.hashes(shards)
         several = np.zeros(len(distinct), bool)
-        for s, raw in bits.items():
-            several[cut[s] : cut[s + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=int(cut[s + 1] - cut[s])).astype(bool)
+        for k, s in enumerate(present.tolist()):
+            several[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=int(cut[k + 1] - cut[k])).astype(bool)
         return Entries(self, np.flatnonzero(several[back]), shards)
 
 
@@ -162,18 +165,16 @@ class Entries:
         print_ = np.zeros(len(pick), np.uint64)
         for i in range(0, len(pick), 1 << 13):
             c = context(batch.buf, anchor[i : i + (1 << 13)], self.most[i : i + (1 << 13)], self.least[i : i + (1 << 13)])
-            words = np.zeros((len(c), 80), np.uint8)
-            words[:, : self.WIDTH] = c
-            words[:, 76], words[:, 77] = self.most[i : i + (1 << 13)], self.least[i : i + (1 << 13)]
-            w = words.view("<u8")
-            h = w[:, 0].astype(np.uint64)
-            for k in range(1, 10):
-                h = _mix(h, w[:, k].astype(np.uint64), np.array([k], np.uint64))
-            print_[i : i + len(c)] = h
-        # contexts of one print count as one; a false match has odds of 1e-13 a batch, and is looked for
+            print_[i : i + len(c)] = _prints(c, self.most[i : i + (1 << 13)], self.least[i : i + (1 << 13)])
+        # contexts of one print count as one; if bytes tell some apart after all, bytes decide for the batch
         order = np.lexsort((print_, shard))
         same = (print_[order][1:] == print_[order][:-1]) & (shard[order][1:] == shard[order][:-1])
         number = np.concatenate(([0], np.cumsum(~same))) if len(order) else np.zeros(0, np.int64)
+        if self._differ(batch.buf, anchor, order, np.flatnonzero(same)):
+            raw = np.concatenate([shard.astype(">u8").view(np.uint8).reshape(-1, 8), context(batch.buf, anchor, self.most, self.least), self.most[:, None].astype(np.uint8), self.least[:, None].astype(np.uint8)], axis=1)
+            number = np.unique(raw, axis=0, return_inverse=True)[1].ravel()
+            order = np.argsort(number, kind="stable")
+            number = number[order]
         self.of = np.zeros(len(pick), np.int64)
         self.of[order] = number
         n = int(number[-1]) + 1 if len(number) else 0
@@ -183,11 +184,26 @@ class Entries:
         np.minimum.at(self.doc, self.of, batch.ids[r.doc[pick]])
         self.anchor, self.shard = anchor[rep], shard[rep]
         self.e_most, self.e_least = self.most[rep], self.least[rep]
-        for i in range(0, len(pick), 1 << 13):
-            p = slice(i, i + (1 << 13))
-            e = rep[self.of[p]]
-            if (context(batch.buf, anchor[p], self.most[p], self.least[p]) != context(batch.buf, anchor[e], self.most[e], self.least[e])).any():
-                raise ValueError("two contexts of one print")  # odds as above; nothing wrong is written
+
+    def _differ(self, buf: np.ndarray, anchor: np.ndarray, order: np.ndarray, at: np.ndarray) -> bool:
+        """Whether some row of order and the next one, at the given places, have different contexts."""
+        for i in range(0, len(at), 1 << 13):
+            a, b = order[at[i : i + (1 << 13)]], order[at[i : i + (1 << 13)] + 1]
+            if (self.most[a] != self.most[b]).any() or (self.least[a] != self.least[b]).any() or (context(buf, anchor[a], self.most[a], self.least[a]) != context(buf, anchor[b], self.most[b], self.least[b])).any():
+                return True
+        return False
+
+
+def _prints(contexts: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """A hash of each context and its reach."""
+    words = np.zeros((len(contexts), 80), np.uint8)
+    words[:, : Entries.WIDTH] = contexts
+    words[:, Entries.WIDTH], words[:, Entries.WIDTH + 1] = most, least
+    w = words.view("<u8")
+    h = w[:, 0].astype(np.uint64)
+    for k in range(1, 10):
+        h = _mix(h, w[:, k].astype(np.uint64), np.array([k], np.uint64))
+    return h
 
 
 def context(buf: np.ndarray, anchor: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -204,25 +220,38 @@ def context(buf: np.ndarray, anchor: np.ndarray, most: np.ndarray, least: np.nda
 def multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of eight-byte characters, and the group of rows that are equal in all of them.
 
-    Multikey quicksort, all groups of one depth at once: a group is split by its next
-    character, and only groups with several rows go deeper.
+    Multikey quicksort, all groups at once: each group is parted by a pivot among its
+    next characters into less, equal and greater; equal rows go on with the character
+    after, the others with the same one, until a group is one row or its depth is reached.
     """
     n, depth = words.shape
-    order, group = np.arange(n), np.zeros(n, np.int64)  # group: by place in order
-    for d in range(depth):
-        size = np.bincount(group) if n else np.zeros(0, np.int64)
-        open_ = np.flatnonzero(size[group] > 1)
-        if not len(open_):
+    order, heads = np.arange(n), np.zeros(n + 1, bool)
+    heads[[0, n]] = True
+    start, size, deep = np.array([0]), np.array([n]), np.array([0])
+    rng = np.random.default_rng(n)
+    while True:
+        open_ = (size > 1) & (deep < depth)
+        start, size, deep = start[open_], size[open_], deep[open_]
+        if not len(start):
             break
-        key = words[order[open_], d]
-        by = np.lexsort((key, group[open_]))
-        order[open_] = order[open_][by]
-        key, g = key[by], group[open_]  # groups keep their places
-        fresh = np.zeros(n, np.int64)
-        fresh[open_[1:]] = (key[1:] != key[:-1]) & (g[1:] == g[:-1])
-        step = np.concatenate(([0], (group[1:] != group[:-1]).astype(np.int64))) if n else fresh
-        group = np.cumsum(step | fresh)
-    return order, group
+        of = np.repeat(np.arange(len(start)), size)
+        first = np.cumsum(size) - size
+        place = np.arange(len(of)) - first[of] + start[of]
+        rows = order[place]
+        key = words[rows, deep[of]]
+        three = np.sort(key[first[:, None] + (rng.random((len(start), 3)) * size[:, None]).astype(np.int64)], axis=1)
+        pivot = three[:, 1][of]
+        less, more = key < pivot, key > pivot
+        n_less, n_more = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(more, first, dtype=np.int64)
+        n_equal = size - n_less - n_more
+        goes = start[of] + np.where(more, (n_less + n_equal)[of], np.where(less, 0, n_less[of]))  # to its part's begin
+        for part in (less, ~(less | more), more):  # and its rank in the part
+            rank = np.cumsum(part) - part
+            goes += np.where(part, rank - rank[first][of], 0)
+        order[goes] = rows
+        start, size, deep = np.concatenate((start, start + n_less, start + n_less + n_equal)), np.concatenate((n_less, n_equal, n_more)), np.concatenate((deep, deep + 1, deep))
+        heads[start] = True
+    return order, np.cumsum(heads[:-1]) - 1
 
 
 class BlindTrie:
@@ -350,9 +379,8 @@ def _packed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         if ids:
             yield row()
 
-    small_batches(docs.sparkSession)
     rows = id_text(docs, text=text, doc_id=doc_id).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    return stored(rows.mapInPandas(work, "batch long, ids binary, sizes binary, body binary"), compression="none", **{"parquet.block.size": str(16 << 20)})
+    return stored(rows.mapInPandas(work, "batch long, ids binary, sizes binary, body binary"), TEXT_ROWS, compression="none", **{"parquet.block.size": str(16 << 20)})
 
 
 def _shards_of(batches, columns):
@@ -383,12 +411,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def sketch(batches):
         for b in batches:
             for batch, ids, sizes, body in zip(b["batch"], b["ids"], b["sizes"], b["body"], strict=True):
-                distinct, several, cut, _ = Batch(ids, sizes, body).hashes(shards)
+                distinct, several, present, cut, _ = Batch(ids, sizes, body).hashes(shards)
                 low = np.ascontiguousarray(distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
-                some = [s for s in range(shards) if cut[s + 1] > cut[s]]
                 yield pd.DataFrame({
-                    "shard": np.array(some, np.int64), "batch": batch, "hashes": [low[cut[s] : cut[s + 1]].tobytes() for s in some],
-                    "flags": [np.packbits(several[cut[s] : cut[s + 1]]).tobytes() for s in some],
+                    "shard": present, "batch": batch, "hashes": [low[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)],
+                    "flags": [np.packbits(several[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)],
                 })
                 release()
 
@@ -409,9 +436,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield pd.DataFrame({"batch": rows, "shard": shard, "bits": [np.packbits(x).tobytes() for x in np.split(several, cuts)]})
             release()
 
-    small_batches(spark, 4)
-    dealt = texts.mapInPandas(sketch, "shard long, batch long, hashes binary, flags binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    bits = stored(dealt.mapInPandas(count, "batch long, shard long, bits binary"))
+    dealt = texts.mapInPandas(sketch, "shard long, batch long, hashes binary, flags binary").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
+    bits = stored(dealt.mapInPandas(count, "batch long, shard long, bits binary"), PACK_ROWS)
     asked = texts.join(_answers(bits, "bits").hint("merge"), "batch", "left")
 
     def told(value) -> dict[int, bytes]:
@@ -422,14 +448,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             for batch, ids, sizes, body, bits_ in zip(b["batch"], b["ids"], b["sizes"], b["body"], b["bits_of"], strict=True):
                 pack = Batch(ids, sizes, body)
                 e = pack.entries(shards, told(bits_))
-                cut = np.searchsorted(e.shard, np.arange(shards + 1))
-                for s in range(shards):
-                    p = slice(cut[s], cut[s + 1])
-                    if cut[s + 1] > cut[s]:
-                        c = context(pack.buf, e.anchor[p], e.e_most[p], e.e_least[p])
-                        k = np.arange(-(SPAN - 1), WINDOW)
-                        keep = (k >= -e.e_most[p][:, None]) & (k < (WINDOW - e.e_least[p])[:, None])
-                        yield pd.DataFrame({"shard": [s], "batch": [batch], "docs": [e.doc[p].tobytes()], "reach": [np.stack((e.e_most[p], e.e_least[p])).astype(np.uint8).tobytes()], "body": [c[keep].tobytes()]})
+                present, cut = np.unique(e.shard, return_index=True)
+                for s, a, z in zip(present.tolist(), cut, np.append(cut[1:], len(e.shard)), strict=True):
+                    p = slice(a, z)
+                    c = context(pack.buf, e.anchor[p], e.e_most[p], e.e_least[p])
+                    k = np.arange(-(SPAN - 1), WINDOW)
+                    keep = (k >= -e.e_most[p][:, None]) & (k < (WINDOW - e.e_least[p])[:, None])
+                    yield pd.DataFrame({"shard": [s], "batch": [batch], "docs": [e.doc[p].tobytes()], "reach": [np.stack((e.e_most[p], e.e_least[p])).astype(np.uint8).tobytes()], "body": [c[keep].tobytes()]})
                 release()
 
     def settle(batches):
@@ -464,8 +489,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield pd.DataFrame({"batch": batch_, "shard": shard, "n": n_, "o": o_, "m": v_})
             release()
 
-    dealt = asked.mapInPandas(contexts, "shard long, batch long, docs binary, reach binary, body binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    marks = stored(dealt.mapInPandas(settle, "batch long, shard long, n binary, o binary, m binary"))
+    dealt = asked.mapInPandas(contexts, "shard long, batch long, docs binary, reach binary, body binary").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
+    marks = stored(dealt.mapInPandas(settle, "batch long, shard long, n binary, o binary, m binary"), PACK_ROWS)
 
     def minima(value, n: int) -> np.ndarray:
         """The answers to a batch's entries, in their order."""
@@ -520,7 +545,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<begin:long,end:long>>" * with_text
     full = asked.join(_answers(marks, "n", "o", "m").hint("merge"), "batch", "left")
-    out = full.select("ids", "sizes", "body", "bits_of", "n_of").mapInPandas(finish, schema)
+    out = stored(full.select("ids", "sizes", "body", "bits_of", "n_of").mapInPandas(finish, schema), PACK_ROWS)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from gridloom.llm import decontaminate, exact_dedup, html_extract, language_id, lm_score, mixing, quality, simhash, suffix_dedup, url_filter
+from gridloom.llm import common, decontaminate, exact_dedup, html_extract, language_id, lm_score, mixing, quality, simhash, suffix_dedup, url_filter
 from gridloom.llm.queries import QUERIES, SQL
 from oracle import same
 
@@ -127,6 +127,24 @@ def test_op2_edges(spark, docs, none):
     assert [r["taken"] for r in mixing.pareto_mix(docs.where("doc_id IN (1, 2)")).collect()] == [0, 0]
 
 
+def test_op2_ranks_rows_of_one_id_apart(spark):
+    from pyspark.sql import functions as F
+
+    docs_ = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id").cast("string")).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    got = mixing.pareto_mix(docs_).collect()
+    by = Counter()
+    for r in got:
+        by[r["target"]] += r["taken"]
+    assert len(got) == 3000 and all(abs(taken - target) <= 4 for target, taken in by.items())
+
+
+def test_op2_short_documents_have_lower_odds(spark):
+    docs_ = spark.createDataFrame([(i, "a " * (4 if i % 2 else 200), "ab"[i % 4 // 2]) for i in range(8000)], "doc_id long, text string, source string")
+    got = mixing.pareto_mix(docs_).where("target < 2 * source_size AND target > source_size").collect()
+    share = lambda size: sum(r["copies"] == 2 for r in got if r["size"] == size) / sum(r["size"] == size for r in got)
+    assert got and share(4) < 0.5 * share(200)
+
+
 def test_op2_comes_near(spark):
     got = mixing.op2_pareto_mix(spark, "/root/testdata/sf0.01").collect()
     by = {}
@@ -199,13 +217,52 @@ def test_op4_finds_all_within_budget(spark, none):
     for i, t, _ in docs_:
         for j, s in items:
             p = plain(s)
-            if p and plain(t) and (d := distance(p, plain(t))) <= int(len(p) * decontaminate.RATE):
+            if p and plain(t) and (d := distance(f" {p} ", f" {plain(t)} ")) <= int(len(p) * decontaminate.RATE):
                 want.append((i, j, d))
     got = rows(decontaminate.benchmark_hits(a, b), "doc_id", "item_id", "distance")
     assert got == sorted(want, key=repr) and any(d for *_, d in want)
     assert decontaminate.benchmark_hits(none, b).count() == 0 and decontaminate.benchmark_hits(a, b.limit(0)).count() == 0
 
 
+def test_op4_words_short_items_and_ids(spark):
+    items = spark.createDataFrame([("mmlu-1", "is it"), ("mmlu-2", "the answer is"), ("long", "of all the answers this one is the best"), (None, "a fifth item without any id at all")], "item_id string, text string")
+    texts = ["what is it", "to bathe answer isn't", "Is it?", "so: of all the answers this one is the best, he said", "xof all the answers this one is the bestx yes", "a fifth item without any id at all"]
+    docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.benchmark_hits(docs_, items)
+    assert rows(got, "doc_id", "item_id") == sorted([(2, "mmlu-1"), (3, "long"), (4, "long"), (5, None)], key=repr)
+    ends = {r["doc_id"]: r["end_at"] for r in got.collect()}
+    assert decontaminate.plain(texts[3])[: ends[3]].endswith("best") and ends[2] == len("is it")
+
+
+def test_op4_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    items = spark.createDataFrame([(i, f"w{i} one two three four five six seven eight nine ten" * 2) for i in range(7)], "item_id int, text string")
+    docs_ = items.selectExpr("item_id + 50L AS doc_id", "text")
+    got = decontaminate.benchmark_hits(docs_, items, rate=0)
+    assert rows(got, "doc_id", "item_id") == [(50 + i, i) for i in range(7)] and dict(got.dtypes)["item_id"] == "int"
+
+
+BIG = (1 << 53) + 1
+
+
+def test_ids_are_exact_beside_nulls(spark):
+    text = "the thing and the other one of them that we have seen before in the house " * 4
+    docs_ = spark.createDataFrame([(BIG, text, "en", "a"), (None, text, "en", "a"), (BIG + 2, "x y", None, None)], "doc_id long, text string, lang string, source string").coalesce(1)
+    want = sorted([(BIG,), (None,), (BIG + 2,)], key=repr)
+    assert rows(simhash.simhash_groups(docs_), "doc_id") == want
+    assert rows(language_id.language_id(language_id.document_rows(docs_), language_id.fit_text(docs_)), "doc_id") == want
+    assert rows(quality.quality_scores(docs_, quality.AttentionMIL()), "doc_id") == want
+    assert rows(decontaminate.benchmark_hits(docs_, spark.createDataFrame([(BIG + 4, text), (None, text)], "item_id long, text string")), "doc_id", "item_id") == sorted([(a, b) for a in (BIG, None) for b in (BIG + 4, None)], key=repr)
+    pages = docs_.selectExpr("doc_id AS page_id", "'u' AS url", "concat('<p>', text) AS html")
+    assert rows(html_extract.extract_pages(pages), "page_id") == want
+
+
+def test_small_shares_are_not_nothing(spark):
+    n = spark.range(1_000_000).where(common.sampled(1e-4, "id")).count()
+    assert 50 < n < 160 and spark.range(10).where(common.sampled(1.0, "id")).count() == 10
+    assert 4000 / 1e11 * float(1 << 53) > 1e8  # the threshold where 4,000 rows of 1e11 are wanted
+
+
 # 5 -----------------------------------------------------------------------------
 
 
@@ -314,6 +371,63 @@ def test_language_id_learns_rare_languages_of_a_large_table(spark):
     assert len(got) == 8 and {(r["language"], r["rejected"]) for r in got} == {("ru", False)}
 
 
+def brute_fusion(rows_, model):
+    """(id, language, posterior, rejected) by the formulas of the docstring."""
+    n, told = len(model.languages), []
+    for r in rows_:
+        k, s = model.score(r["text"])
+        told.append((r, k, s, int(s.argmax()) if k else -1))
+    prior = Counter(v for *_, v in told if v >= 0)
+    prior = [(prior[i] + 1) / (sum(prior.values()) + n) for i in range(n)]
+    counts = {c: {} for c in ("declared", "suffix", "host", "domain", "zone")}
+    for r, _, _, v in told:
+        if v >= 0:
+            for c, by in counts.items():
+                key = r[c] if c in ("declared", "suffix") else (tuple(r[x] for x in ("host", "domain", "zone")[("host", "domain", "zone").index(c) :]) if r[c] is not None else None)
+                if key is not None:
+                    by.setdefault(key, [0] * n)[v] += 1
+    for r, k, s, _ in told:
+        total = list(s / 3)
+        p = prior
+        for c in ("zone", "domain", "host"):
+            key = tuple(r[x] for x in ("host", "domain", "zone")[("host", "domain", "zone").index(c) :])
+            got = counts[c].get(key)
+            if got:
+                p = [(x + language_id.KAPPA * q) / (sum(got) + language_id.KAPPA) for x, q in zip(got, p, strict=True)]
+        if r["host"] is not None and tuple(r[x] for x in ("host", "domain", "zone")) in counts["host"]:
+            total = [t + math.log(q) for t, q in zip(total, p, strict=True)]
+        for c in ("declared", "suffix"):
+            by = counts[c]
+            if r[c] in by:
+                all_ = [sum(g[i] for g in by.values()) for i in range(n)]
+                total = [t + math.log((by[r[c]][i] + 1) / (all_[i] + len(by))) for i, t in enumerate(total)]
+        top = max(total)
+        post = 1 / sum(math.exp(t - top) for t in total)
+        noise = k >= language_id.MIN_TRIGRAMS and max(s) / k < model.floor
+        yield r["doc_id"], model.languages[total.index(top)] if k else None, post, k == 0 or noise or post < language_id.MIN_POSTERIOR
+
+
+@pytest.mark.parametrize("name", ["op6_language_id", "op6_pages_language"])
+def test_op6_equals_brute_force(spark, name):
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit_text(docs_)
+    source = language_id.document_rows(docs_) if name == "op6_language_id" else language_id.page_rows(spark.read.parquet(f"{SF}/pages.parquet"))
+    want = {w[0]: w for w in brute_fusion(source.collect(), model)}
+    got = QUERIES[name](spark, SF).collect()
+    assert len(got) == len(want)
+    for g in got:
+        w = want[g[0]]
+        assert g["language"] == w[1] and bool(g["rejected"]) == bool(w[3]) and math.isclose(g["posterior"], w[2], rel_tol=1e-6)
+
+
+def test_language_of_one_document_is_learnt(spark):
+    texts = [(i, "the thing and the other one of them " * 6, "en") for i in range(40)] + [(99, "мы видели большой дом у реки и лес " * 6, "ru")]
+    docs_ = spark.createDataFrame(texts, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source")
+    model = language_id.fit_text(docs_)
+    assert model.languages == ["en", "ru"]
+    assert [(r["language"], r["rejected"]) for r in language_id.language_id(language_id.document_rows(docs_), model).where("doc_id = 99").collect()] == [("ru", False)]
+
+
 def test_op6_evidence_decides(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit_text(table)
@@ -350,18 +464,59 @@ def test_op7_edges(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+P20 = "This is a long paragraph of the article, with commas, and it goes on for quite a while so that it counts."
+NAV = "<nav><a href=x>Home</a> <a href=y>News</a></nav>"
+HARD_PAGES = {
+    "wrapper": (f"{NAV}<div class='layout has-sidebar'><article><h1>Title</h1><p>{P20}</p></article></div><footer>Imprint</footer>", f"Title {P20}"),
+    "paper": (f"{NAV}<article class='discussion-paper'><h1>Title</h1><p>{P20}</p></article>", f"Title {P20}"),
+    "form": (f"<form id=aspnetForm>{NAV}<div><h1>Title</h1><p>{P20}</p><p>{P20}</p><p>{P20}</p></div></form><footer>Imprint</footer>", f"Title {P20} {P20} {P20}"),
+    "one paragraph": (f"<div id=wrap><p>{P20}</p></div>", P20),
+    "headline": (f"<article><header><h1>Title</h1></header><p>{P20}</p><footer>Filed under things</footer></article>", f"Title {P20}"),
+    "closed svg": (f"<article><svg width=1 /><p>{P20}</p></article>", P20),
+    "open button": (f"<article><p>{P20}</p><button>Press<p>{P20}</p></article>", None),
+    "open select": (f"<article><select><option>A<p>{P20}</p></article>", None),
+    "lone less-than": (f"<3 hearts and {P20}", f"<3 hearts and {P20}"),
+    "less-than": (f"<article><p>{P20} Now a < b, and 1 <2.</p></article>", f"{P20} Now a < b, and 1 <2."),
+    "odd quote": (f"<article><p data-x=it's>{P20}</p><p title='a>b'>{P20}</p></article>", f"{P20} {P20}"),
+    "deep menu": (f"<article><p>{P20}</p></article>" + "<div>" * 500 + "<nav>Menu item one</nav>", P20),
+    "deep text": ("<div>" * 3000 + f"<article><p>{P20}</p></article>", P20),
+    "cards": (f"<article><h1>Title</h1><p>{P20}</p></article><aside><article><h2>Other</h2><p>{P20}</p></article></aside>", f"Title {P20}"),
+    "nested comments": (f"<main><p>{P20}</p><p>{P20}</p><div id=commentList><ul><li><div class=body><div><p>{P20}</p></div></div></li></ul></div></main>", f"{P20} {P20}"),
+    "no article": (f"<div class=site-header><a href=/>Name</a></div><div id=page><h1>Title</h1><p>{P20}</p><p>{P20}</p></div><div class='cookie-notice'>We use cookies.</div><div class=siteFooter>Imprint</div>", f"Title {P20} {P20}"),
+    "raw text": (f"<title>x</title><article><p>{P20}</p><noscript><p>{P20}</p></noscript><textarea>{P20}</textarea><iframe src=x></iframe></article>", P20),
+    "cut off": (f"<article><p>{P20}</p><p class='a", P20),
+}
+
+
+@pytest.mark.parametrize("name", HARD_PAGES)
+def test_op7_hard_pages(name):
+    page, want = HARD_PAGES[name]
+    got = html_extract.main_text(f"<html><body>{page}")
+    assert got == want if want else got.endswith(P20) and got.startswith(P20[:4])
+
+
+def test_op7_learns_marks_of_a_table():
+    pages = [f"{NAV}<article><h1>T {i}</h1><p>{P20} {i}.</p></article><div class=zzstrip>{P20} {i}</div>" for i in range(60)]
+    model = html_extract.Classifier.fit([e for p in pages for e in html_extract.examples(html_extract.Page(p), set())])
+    assert model.weights["c:zzstrip"] < -0.5 < html_extract.prior("c:zzstrip") and model.weights["own:p"] > html_extract.prior("own:p")
+
+
+def test_op7_long_pages_take_linear_time():
+    import time
+
+    page = "<article>" + f"<p>{P20}</p><ul><li>one<li>two</ul>" * 20_000
+    began = time.perf_counter()
+    got = html_extract.main_text(page)
+    assert got.count(P20) == 20_000 and time.perf_counter() - began < 60
+
+
 def test_op7_cut_is_least():
     r = random.Random(3)
     for _ in range(60):
         n = r.randint(1, 7)
         odds = [r.uniform(-2, 2) for _ in range(n)]
         edges = [(i, j, r.uniform(0, 1.5)) for i in range(n) for j in range(i) if r.random() < 0.5]
-        f = html_extract.Flow(n + 2)
-        for i, o in enumerate(odds):
-            f.edge(n, i, o) if o > 0 else f.edge(i, n + 1, -o)
-        for i, j, w in edges:
-            f.edge(i, j, w, w)
-        side = f.source_side(n, n + 1)[:n]
+        side = html_extract.content(odds, edges)
         cost = lambda s: sum(o for o, x in zip(odds, s, strict=True) if o > 0 and not x) + sum(-o for o, x in zip(odds, s, strict=True) if o <= 0 and x) + sum(w for i, j, w in edges if s[i] != s[j])
         assert math.isclose(cost(side), min(cost([m >> i & 1 for i in range(n)]) for m in range(1 << n)), abs_tol=1e-6)
 
@@ -456,13 +611,67 @@ def test_op9(spark, docs, none):
 
 def test_op9_gradient():
     r = np.random.default_rng(0)
-    bags = [r.random((r.integers(1, 5), quality.WIDTH), dtype=np.float32) for _ in range(60)]
-    y = np.array([float(b[:, 3].max() > 0.7) for b in bags], np.float32)
+    bags = [r.integers(0, 256, (r.integers(1, 5), quality.WIDTH)).astype(np.uint8) for _ in range(60)]
+    y = np.array([float(b[:, 3].max() > 178) for b in bags], np.float32)
     m = quality.AttentionMIL().fit(bags, y)
-    s = np.array([m.score(b, np.array([0]))[0] for b in bags])
+    s = np.array([m.forward(b.astype(np.float32) / 255, np.array([0]))[-1][0] for b in bags])
     assert ((s >= 0.5) == (y == 1)).mean() > 0.9
 
 
+def brute_quality(model, text):
+    """The score by the formulas of the docstring, passage by passage."""
+    raw = (text or "").encode("utf-8", "replace")
+    p, hs, es = {k: v.astype(np.float64) for k, v in model.p.items()}, [], []
+    for i in range(0, max(1, len(raw)), quality.PASSAGE):
+        part = raw[i : i + quality.PASSAGE + 1]
+        pairs = Counter(zip(part, part[1:], strict=False))
+        size = max(1, sum(pairs.values()))
+        x = np.zeros(quality.WIDTH)
+        for (a, b), n in pairs.items():
+            x[quality._CLASS[a] * quality.CLASSES + quality._CLASS[b]] += n
+        x = np.sqrt((x / size).astype(np.float32))
+        part = raw[i : i + quality.PASSAGE + 2]
+        x[-2:] = len({part[j : j + 3] for j in range(len(part) - 2)}) / size, size / quality.PASSAGE
+        x = np.round(x * 255) / 255
+        h = np.tanh(x @ p["W"] + p["b"])
+        hs.append(h)
+        es.append((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"])
+    a = np.exp(np.array(es) - max(es))
+    return 1 / (1 + math.exp(-((a / a.sum()) @ np.array(hs) @ p["c"] + p["d"][0])))
+
+
+def test_op9_equals_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(table, labels)
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    for r in QUERIES["op9_quality"](spark, SF).collect():
+        assert math.isclose(r["score"], brute_quality(model, texts[r["doc_id"]]), abs_tol=2e-3)
+    few = [r[1] for r in edge_rows()]
+    for t, s in zip(few, model.scores(few), strict=True):
+        assert math.isclose(s, brute_quality(model, t), abs_tol=2e-3)
+
+
+def test_op9_long_texts_take_little_memory():
+    import tracemalloc
+
+    model = quality.AttentionMIL()
+    model.trained = True
+    text = "The quick brown fox, and the rest of it. " * 800_000  # 33 MB
+    tracemalloc.start()
+    model.scores([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_op9_labels_that_conflict(spark):
+    docs_ = spark.createDataFrame([(i, f"text {i} " * 30) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1) for i in range(0, 60, 4)], "doc_id long, quality int")
+    a, b = (sorted(map(tuple, quality.quality_scores(docs_, quality.train(docs_, x)).collect())) for x in (labels.repartition(3), labels.repartition(7)))
+    assert a == b
+
+
 # 10 ----------------------------------------------------------------------------
 
 

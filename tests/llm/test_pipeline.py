@@ -86,12 +86,34 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     assert sorted(map(tuple, got), key=repr) == [(1, "a b", 1), (None, "c", 3)]
 
 
-def test_rows_without_id_stay(spark):
-    docs = spark.createDataFrame([(None, "the thing and the other"), (None, None), (None, "the thing and the other"), (4, "the thing and the other"), (5, "the thing, and the rest of it")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
-        assert docs.where("doc_id IS NULL").count() == 3
-    assert docs.count() >= 4
+def kept(spark, stage, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1 AS _row", "2 AS row", "3 AS _ROW_")
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+
+
+def test_rows_of_one_id_are_judged_each_for_itself(spark):
+    exact = corpus_pipeline.drop_exact_copies
+    assert kept(spark, exact, [(5, "alpha beta gamma"), (5, "a wholly different text")]) == [(5, "a wholly different text"), (5, "alpha beta gamma")]
+    assert kept(spark, exact, [(3, "alpha beta gamma"), (5, "alphabeta gamma"), (5, "unique text of five")]) == [(3, "alpha beta gamma"), (5, "unique text of five")]
+    long_ = " ".join(f"w{i}" for i in range(100))
+    near = corpus_pipeline.drop_near_copies
+    assert kept(spark, near, [(3, long_), (5, long_ + " x"), (5, "unique text of five")]) == [(3, long_), (5, "unique text of five")]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    leak = corpus_pipeline.drop_benchmark_leaks
+    assert kept(spark, leak, [(5, f"so it says {item} there"), (5, "unique text of five")]) == [(5, "unique text of five")]
+    noise = corpus_pipeline.identify_language
+    assert kept(spark, noise, [(5, ""), (5, "the thing and the other")]) == [(5, "the thing and the other")]
+
+
+def test_rows_without_id_are_judged_too(spark):
+    long_ = " ".join(f"w{i}" for i in range(100))
+    got = kept(spark, corpus_pipeline.drop_exact_copies, [(None, "a b c"), (None, "a b c"), (None, "d e f")])
+    assert got == [(None, "a b c"), (None, "d e f")]
+    assert kept(spark, corpus_pipeline.drop_near_copies, [(None, long_ + " x"), (None, long_ + " y"), (9, long_)]) == [(9, long_)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    assert kept(spark, corpus_pipeline.drop_benchmark_leaks, [(None, f"so it says {item} there"), (None, "unique text of five")]) == [(None, "unique text of five")]
 
 
 def test_entry_lives_without_the_folders(monkeypatch):
