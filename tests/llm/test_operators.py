@@ -266,60 +266,72 @@ def test_small_shares_are_not_nothing(spark):
 # 5 -----------------------------------------------------------------------------
 
 
-def brute_lm(pairs):
+def brute_lm(pairs, voc):
     texts = [(i, WORDS.findall(lower(t or ""))) for i, t in pairs]
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c, cv, pair, types = Counter(), Counter(), Counter(), Counter()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    number = lambda w: {None: lm_score.START, " ": lm_score.END}.get(w) if w in (None, " ") else voc.ids.get(w.encode(), lm_score.RARE + (xxhash.xxh3_64_intdigest(w.encode()) >> 16))
+    context = lambda x, u, v: int(voc.context(*[np.array([number(w)]) for w in (x, u, v)])[0])
+    grams = lambda w: [(s[j - 2], context(*s[j - 3 : j]), s[j]) for s in [[None, None, None, *w, " "]] for j in range(3, len(s))]
+    c, cv, cuv, vw, uvw, types, types2 = (Counter() for _ in range(7))
     for i, w in texts:
         if not held(i):
             c.update([*w, " "])
-    n, v = sum(c.values()), len(c)
-    top = sorted((w for w in c if w != " " and len(w.encode()) <= lm_score.WORD_BYTES), key=lambda w: (-c[w], w))[: lm_score.VOCABULARY]
-    known = {"<s>", " ", *top}
-    kind = lambda w: w if w in known else "<other>"
-    p1 = lambda w: (c[w] + 1) / (n + v + 1)
-    p1_other = 1 - sum(map(p1, [*top, *([" "] if n else [])]))
-    for i, w in texts:
-        if not held(i):
-            s = ["<s>", *map(kind, w), " "]
-            cv.update(s[:-1])
-            pair.update(zip(s, s[1:], strict=False))
-    types.update(a for a, _ in pair)
-
-    def after(a, b):
-        a, k = kind(a), kind(b)
-        if not cv[a]:
-            return p1(b)
-        p = max(pair[a, k] - 0.75, 0) / cv[a] + 0.75 * types[a] / cv[a] * (p1(b) if k == b else p1_other)
-        return p if k == b else p * p1(b) / p1_other
+            for u, v, x in grams(w):
+                cv[v] += 1
+                cuv[u, v] += 1
+                vw[v, x] += 1
+                uvw[u, v, x] += 1
+    types.update(v for v, _ in vw)
+    types2.update((u, v) for u, v, _ in uvw)
+    n, kinds, d = sum(c.values()), len(c), lm_score.DISCOUNT
+    p1 = lambda w: (c[w] + 1) / (n + kinds + 1)
+
+    def after(u, v, w):
+        p = p1(w)
+        if cv[v]:
+            p = max(vw[v, w] - d, 0) / cv[v] + d * types[v] / cv[v] * p
+        if cuv[u, v]:
+            p = max(uvw[u, v, w] - d, 0) / cuv[u, v] + d * types2[u, v] / cuv[u, v] * p
+        return p
 
     if n:  # the model is one: all known words, the end and an unseen word
-        for a in ["<s>", *list(c)[:3], "<unseen>"]:
-            assert math.isclose(sum(after(a, b) for b in [*c, "<unseen>"]), 1, rel_tol=1e-9)
+        for u, v in [*list(cuv)[:3], *list(cuv)[-2:], ("<unseen>", 77)]:
+            assert math.isclose(sum(after(u, v, w) for w in [*c, "<unseen>"]), 1, rel_tol=1e-9)
     for i, w in texts:
-        s = ["<s>", *w, " "]
-        base = sum(math.log10(p1(b)) for b in s[1:])
-        score = sum(math.log10(after(a, b)) for a, b in zip(s, s[1:], strict=False))
-        yield i, held(i), len(w) + 1, sum(c[x] > 0 for x in [*w, " "]), n, base, score
-
-
-@pytest.mark.parametrize("edges", [True, False])
-def test_op5(spark, docs, edges, monkeypatch):
-    df = docs if edges else spark.read.parquet(f"{SF}/documents.parquet")
-    pairs = [(r[0], r[1]) for r in edge_rows()] if edges else [(r["doc_id"], r["text"]) for r in df.collect()]
-    if not edges:  # most words are outside the vocabulary, few bigrams are hot
-        monkeypatch.setattr(lm_score, "WORD_BYTES", 5)
-        monkeypatch.setattr(lm_score, "HOT", 200)
-    got = sorted(map(tuple, lm_score.lm_scores(df).collect()))
-    want = sorted(brute_lm(pairs))
+        yield i, held(i), len(w) + 1, sum(c[x] > 0 for x in [*w, " "]), n, sum(math.log10(p1(x)) for x in [*w, " "]), sum(math.log10(after(*g)) for g in grams(w))
+
+
+@pytest.mark.parametrize("case", ["edges", "table", "hot", "cut"])
+def test_op5(spark, docs, case, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet") if case in ("table", "hot") else docs
+    pairs = [(r["doc_id"], r["text"]) for r in df.collect()]
+    if case == "hot":  # many classes, few frequent words, several batches
+        monkeypatch.setattr(lm_score, "PAIR_LEAST", 4)
+        monkeypatch.setattr(lm_score, "SPREAD", 200)
+        monkeypatch.setattr(lm_score, "FREQUENT", 500)
+        monkeypatch.setattr(lm_score, "BATCH", 30_000)
+    if case == "cut":  # texts in many pieces
+        monkeypatch.setattr(lm_score, "BATCH", 300)
+    voc = lm_score.vocabulary(common.id_text(df), 12)
+    assert case != "hot" or (len(voc.pair_keys) and voc.classes.max() > 3)
+    key = lambda r: (r[0] is None, r[0] or 0, r[2:])
+    got = sorted(map(tuple, lm_score.lm_scores(df, voc=voc).collect()), key=key)
+    want = sorted(brute_lm(pairs, voc), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
         assert math.isclose(g[5], w[5], rel_tol=1e-9, abs_tol=1e-9) and abs(g[6] - w[6]) <= 0.05 * w[2]
-    if not edges:
+    assert abs(sum(g[6] - w[6] for g, w in zip(got, want, strict=True))) <= 0.01 * sum(w[2] for w in want)
+    if case == "table":
         h = [g for g in got if g[1]]
         assert sum(g[6] for g in h) > sum(g[5] for g in h)
 
 
+def test_op5_rows_of_one_id(spark):
+    docs_ = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d e"), (7, "a b c"), (7, "x")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in lm_score.lm_scores(docs_).collect()), key=repr)
+    assert got == sorted([(None, 4), (None, 4), (None, 3), (7, 4), (7, 2)], key=repr)
+
+
 def test_op5_empty(none, spark):
     assert lm_score.lm_scores(none).count() == 0
     only = spark.createDataFrame([(i, "a b") for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2][:3], "doc_id long, text string")
@@ -328,19 +340,40 @@ def test_op5_empty(none, spark):
 
 def test_op5_elias_fano():
     r = np.random.default_rng(1)
-    for n, top in ((1, 1), (7, 3), (5000, 40), (5000, 1 << 40)):
+    for n, top in ((1, 1), (7, 3), (5000, 40), (5000, 1 << 40), (3000, 1 << 55)):
         x = np.sort(r.integers(0, top, n))
         e = lm_score.EliasFano.build(x)
-        assert (e.decode() == x).all() and (e[np.arange(n)] == x).all()
-        q = r.integers(0, top + 1, 50)
-        assert (e.search(q, np.zeros(50, np.int64), np.full(50, n)) == np.searchsorted(x, q)).all()
-    keys = np.unique(r.integers(0, 900, 20_000) * lm_score.BASE + r.integers(0, 5000, 20_000))
-    t = lm_score.Trie.build(keys, -r.random(len(keys)) * 4)
-    q = np.sort(np.concatenate((keys[::3], keys[::5] + 1)))
-    assert (t.lookup(q)[0] == np.isin(q, keys)).all()
-    assert all((a == b).all() for a, b in zip(t.lookup(q), t.lookup_many(q), strict=True))
-    bits = sum(e.lower.nbytes + e.upper.nbytes for e in (t.contexts, t.pointers, t.words)) * 8
-    assert bits < 18 * len(keys)
+        assert (e[np.arange(n)] == x).all()
+        x = np.unique(x)
+        e = lm_score.EliasFano.build(x)
+        q = np.concatenate((r.integers(0, top + 1, 50), x[::7]))
+        at = np.searchsorted(x, q)
+        hit = np.where((at < len(x)) & (x[np.minimum(at, len(x) - 1)] == q), at, -1)
+        zero = np.zeros(len(q), np.int64)
+        assert (e.find(q, zero, zero + len(x)) == hit).all()
+        lo, hi = zero + len(x) // 3, zero + len(x) // 2
+        assert (e.find(q, lo, hi) == np.where((hit >= lo) & (hit < hi), hit, -1)).all()
+    assert lm_score.EliasFano.build(np.zeros(0, np.int64)).find(np.array([3]), np.array([0]), np.array([0])).tolist() == [-1]
+
+
+def test_op5_trie_is_compact(tmp_path):
+    r = np.random.default_rng(2)
+    t = np.unique(np.stack([r.zipf(1.5, 60_000) % 900, r.zipf(1.4, 60_000) % 4000, r.zipf(1.4, 60_000) % 4000], axis=1), axis=0)
+    n = r.integers(1, 9, len(t))
+    trie = lm_score.Trie.build(17, t[:, 0] << 30, t[:, 1], t[:, 2], n)
+    trie.save(str(tmp_path / "t"))
+    again = lm_score.Trie.mapped(str(tmp_path / "t"))
+    v = np.unique(t[:, 0]) << 30
+    tri_v = np.searchsorted(v, t[:, 0] << 30)
+    pair, tri_pair = np.unique((tri_v << 17) | t[:, 2], return_inverse=True)
+    ctx, tri_ctx = np.unique((tri_v << 17) | t[:, 1], return_inverse=True)
+    ask = (v, pair >> 17, pair & 0x1FFFF, ctx >> 17, ctx & 0x1FFFF, tri_ctx, tri_pair)
+    (a, b), (a2, b2) = trie.lookup(*ask), again.lookup(*ask)
+    assert (a == a2).all() and (b == b2).all()
+    total, pair_total = np.bincount(tri_v, n), np.bincount(tri_ctx, n)
+    want = (n - 0.75) / pair_total[tri_ctx] + 0.75 * np.bincount(tri_ctx)[tri_ctx] / pair_total[tri_ctx] * (np.bincount(tri_pair, n)[tri_pair] - 0.75) / total[tri_v]
+    assert np.abs(np.log10(a) - np.log10(want)).max() < 0.05
+    assert (tmp_path / "t").stat().st_size < 12 * len(t)
 
 
 # 6 -----------------------------------------------------------------------------
