@@ -13,13 +13,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from gridloom.functions.schema import Rect  # noqa: E402
-from gridloom.operators import filters, index, nearest, partition  # noqa: E402
+from gridloom.functions.schema import Circle, Point, Rect  # noqa: E402
+from gridloom.operators import filters, index, joins, learned, nearest, partition  # noqa: E402
+from gridloom.plans import build  # noqa: E402
 from gridloom.plans import queries as q  # noqa: E402
 
 DATA = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-SCANS = ("range_query", "range_count", "point_query_all", "distance_query", "circle_count", "knn", "nearest", "knn_join", "rect_join", "rect_join_cells", "rect_join_count", "polygon_join_exact", "bbox_stats", "cdf", "st_range_query", "st_point_query")
+SCANS = ("range_query", "range_count", "distance_query", "circle_count", "knn", "nearest", "knn_join", "rect_join", "rect_join_count", "polygon_join_exact", "bbox_stats", "cdf", "st_range_query", "st_point_query")
 
 
 def main() -> None:
@@ -47,12 +48,27 @@ def main() -> None:
         for name in SCANS:
             run(name, lambda name=name: q.QUERIES[name](spark, DATA))
         points = q.pts_li(spark, DATA)
+        at = points.orderBy(*q.KEYS).limit(1).first()
+        at = Point(at["x"], at["y"])
+        run("point_query", lambda: filters.point_query(points, at))
         for method in partition.METHODS:
             began = time.perf_counter()
-            idx = index.build_index(points, f"{work}/{method}", method, 16)
+            idx = build.build(points, f"{work}/{method}", method, 16)
             seconds[f"build_{method}"] = round(time.perf_counter() - began, 3)
             run(f"range_indexed_{method}", lambda idx=idx: filters.range_query(idx, Rect(20000, 5, 24000, 20)))
-            run(f"knn_indexed_{method}", lambda idx=idx: nearest.knn_windowed(idx, q.QUERY, 10, q.KEYS))
+            run(f"point_indexed_{method}", lambda idx=idx: filters.point_query(idx, at))
+            run(f"knn_indexed_{method}", lambda idx=idx: nearest.knn(idx, q.QUERY, 10, q.KEYS))
+        idx = index.Index(spark, f"{work}/kdb")
+        run("circle_indexed", lambda: filters.circle_count(idx, Circle(30000, 25, 500)))
+        run("rect_join_indexed", lambda: joins.rect_join(idx, q.rects(spark, DATA).where("rect_id < 5")))
+        run("polygon_join_indexed", lambda: joins.polygon_join(idx, q.polys(spark)))
+        run("knn_join_indexed", lambda: nearest.knn_join(q.knn_queries(spark, DATA), idx, 20, q.KEYS))
+        began = time.perf_counter()
+        learned.build_models(idx)
+        seconds["build_models"] = round(time.perf_counter() - began, 3)
+        run("range_learned", lambda: learned.learned_range_query(idx, Rect(20000, 5, 24000, 20)))
+        geo = build.build(q.pts_geo(spark, DATA), f"{work}/geo", "rtree", 25, "lat", "lon")
+        run("distance_indexed", lambda: filters.distance_query(geo, 10, 20, 500_000))
     finally:
         spark.stop()
         shutil.rmtree(work, ignore_errors=True)

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.schema import Rect
+
 #: Fixed value: the sphere's radius in metres.
 EARTH_RADIUS = 6378137.0
 
@@ -119,25 +121,37 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def degree_window(lat, lon, lat0: float, lon0: float, metres: float) -> Column:
-    """Conjuncts on raw columns that can be pushed to the scan and hold wherever
-    haversine <= metres: a band of latitudes and, away from the poles, of longitudes,
-    in two parts if it crosses the antimeridian."""
+def degree_boxes(lat0: float, lon0: float, metres: float) -> list[Rect]:
+    """Rectangles of latitude (x) and longitude (y) outside which no point is within metres: a band of
+    latitudes and, away from the poles, of longitudes, in parts if it crosses the antimeridian."""
     slack = 1e-9
     angle = metres / EARTH_RADIUS
     band = math.degrees(angle) * (1 + slack) + slack
-    lat, lon = _c(lat), _c(lon)
-    near = (lat >= lat0 - band) & (lat <= lat0 + band)
+    south, north = lat0 - band, lat0 + band
     top = math.radians(abs(lat0)) + angle
     if top >= math.pi / 2 * (1 - slack) or angle >= math.pi / 2:
-        return near & ~F.isnan(lon)
+        return [Rect(south, -math.inf, north, math.inf)]
     wide = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat0))))) * (1 + slack) + slack
     lo, hi = lon0 - wide, lon0 + wide
-    inside = (lon >= lo) & (lon <= hi)
+    out = [Rect(south, lo, north, hi)]
     if lo < -180:
-        inside = inside | ((lon >= lo + 360) & (lon <= 360))
+        out.append(Rect(south, lo + 360, north, 360.0))
     if hi > 180:
-        inside = inside | ((lon <= hi - 360) & (lon >= -360))
+        out.append(Rect(south, -360.0, north, hi - 360))
+    return out
+
+
+def degree_window(lat, lon, lat0: float, lon0: float, metres: float) -> Column:
+    """degree_boxes as conjuncts on raw columns that can be pushed to the scan."""
+    lat, lon = _c(lat), _c(lon)
+    boxes = degree_boxes(lat0, lon0, metres)
+    near = (lat >= boxes[0].x0) & (lat <= boxes[0].x1)
+    if math.isinf(boxes[0].y1):
+        return near & ~F.isnan(lon)
+    inside = None
+    for b in boxes:
+        part = (lon >= b.y0) & (lon <= b.y1)
+        inside = part if inside is None else inside | part
     return near & inside
 
 
@@ -161,14 +175,16 @@ def ring_edges(ring) -> Column:
     return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), edge)
 
 
+def crosses(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether the ray from a point to greater x crosses an edge."""
+    return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+
+
 def point_in_edges(x, y, edges) -> Column:
     """Even-odd rule over the edges of a ring; points on the boundary are unspecified."""
     x, y = _c(x), _c(y)
-
-    def crosses(e: Column) -> Column:
-        return ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-
-    return F.aggregate(_c(edges), F.lit(False), lambda odd, e: odd != F.coalesce(crosses(e), F.lit(False)))
+    hit = lambda e: crosses(x, y, e["x1"], e["y1"], e["x2"], e["y2"])
+    return F.aggregate(_c(edges), F.lit(False), lambda odd, e: odd != F.coalesce(hit(e), F.lit(False)))
 
 
 def point_in_ring(x, y, ring) -> Column:

@@ -45,11 +45,13 @@ def exists(src, p: Point, x: str = "x", y: str = "y") -> bool:
 
 
 def distance_query(src, lat0: float, lon0: float, metres: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Rows within metres on the sphere.  A degree window goes to the scan, the great circle decides."""
+    """Rows within metres on the sphere.  A degree window goes to the scan, the great circle decides.
+    On an Index, x is the latitude and y the longitude, and partitions outside the window are dropped."""
     if metres < 0:
         raise ValueError("a distance is not negative")
-    df = src if isinstance(src, DataFrame) else src.rows(None)
-    lat, lon = (lat, lon) if isinstance(src, DataFrame) else (src.x, src.y)
+    if not isinstance(src, DataFrame):
+        src, lat, lon = src.rows(g.degree_boxes(lat0, lon0, metres)), src.x, src.y
+    df = src
     return df.where(g.degree_window(lat, lon, lat0, lon0, metres) & (g.haversine(lat, lon, lat0, lon0) <= metres))
 
 

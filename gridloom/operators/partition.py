@@ -1,9 +1,10 @@
 """Spatial partitioners: each adds a column pid and describes its cells.
 
 fixgrid and adaptive are formulas over the bounding box.  kdb, quad and rtree
-build a tree on the driver from a seeded sample of bounded size; the tree becomes
-one nested CASE over the coordinates, so that placing a point is a narrow,
-generated expression.  Cells are half open and cover the whole plane; a point has
+build a tree on the driver from a seeded sample of bounded size, which grows with the
+number of leaves; a small tree becomes one nested CASE over the coordinates, a larger
+one a chain of short searches in literal arrays (see _searched), so that placing a
+point is a narrow expression at any number of leaves.  Cells are half open and cover the whole plane; a point has
 exactly one.  Rows without coordinates get no pid and are left out.
 """
 
@@ -21,6 +22,8 @@ from gridloom.operators.quadtree import QuadTree, Zone
 from gridloom.operators.stats import Stats, stats
 
 SAMPLE = 20_000
+LEAF_SAMPLE, MOST_SAMPLE = 20, 2_000_000  # sampled points to a leaf, and in all
+INLINE_LEAVES = 256  # of a tree that becomes one CASE; larger ones are searched in arrays
 METHODS = ("fixgrid", "adaptive", "kdb", "quad", "rtree")
 INF = math.inf
 
@@ -84,6 +87,41 @@ def _case(tree, x: Column, y: Column) -> Column:
     return F.when((x if axis == 0 else y) < F.lit(value), _case(below, x, y)).otherwise(_case(above, x, y))
 
 
+def _searched(tree, x: Column, y: Column) -> Column:
+    """A tree as arrays of axes, values and children, walked from the root by as many steps as it is deep.
+
+    The arrays are literals, so the plan holds a few nodes at any number of leaves, and no generated
+    method grows with the tree.  Inner nodes are numbered from 0, a leaf p is -1 - p.
+    """
+    axes, values, below, above, depth = [], [], [], [], 0
+
+    def number(node, deep):
+        nonlocal depth
+        if isinstance(node, int):
+            depth = max(depth, deep)
+            return -1 - node
+        k = len(axes)
+        axes.append(node[0])
+        values.append(float(node[1]))
+        below.append(0)
+        above.append(0)
+        below[k], above[k] = number(node[2], deep + 1), number(node[3], deep + 1)
+        return k
+
+    root = number(tree, 0)
+    if root < 0:
+        return F.lit(-1 - root)
+    literal = lambda items, kind: F.from_json(F.lit(str(items)), f"array<{kind}>")
+    nodes = F.arrays_zip(literal(axes, "int").alias("axis"), literal(values, "double").alias("value"), literal(below, "int").alias("below"), literal(above, "int").alias("above"))
+
+    def step(at: Column, _: Column) -> Column:
+        node = F.element_at(nodes, at + 1)
+        turn = F.when(F.when(node["axis"] == 0, x).otherwise(y) < node["value"], node["below"]).otherwise(node["above"])
+        return F.when(at < 0, at).otherwise(turn)
+
+    return -1 - F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
+
+
 def kdb_tree(sample: list[tuple[float, float]], n: int):
     """Median splits of the wider side until there are n leaves; a run of equal values is not split."""
     cells: list[Cell] = []
@@ -167,9 +205,10 @@ def layout(points: DataFrame, method: str, n: int = 100, x: str = "x", y: str =
         return Layout(method, 0, F.lit(0), [])
     if method in ("fixgrid", "adaptive"):
         return (fixgrid if method == "fixgrid" else adaptive)(s, x, n, contiguous)
-    sample = sample_points(points, s.n, x, y, seed)
+    sample = sample_points(points, s.n, x, y, seed, min(MOST_SAMPLE, max(SAMPLE, LEAF_SAMPLE * n)))
     tree, cells = quad_tree(sample, s.box, n) if method == "quad" else (kdb_tree if method == "kdb" else str_tree)(sample, n)
-    return Layout(method, len(cells), _case(tree, F.col(x).cast("double"), F.col(y).cast("double")).cast("int"), cells)
+    place = _case if len(cells) <= INLINE_LEAVES else _searched
+    return Layout(method, len(cells), place(tree, F.col(x).cast("double"), F.col(y).cast("double")).cast("int"), cells)
 
 
 def with_pid(points: DataFrame, method: str, n: int = 100, x: str = "x", y: str = "y", seed: int = 42, contiguous: bool = False) -> DataFrame:

@@ -20,24 +20,28 @@ def cross(ax: float, ay: float, bx: float, by: float) -> int:
 
 
 def greedy_spline(keys: np.ndarray, pos: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Knots on the points themselves; keys ascend strictly."""
+    """Knots on the points themselves; keys ascend strictly.  From a knot on, the corridor of slopes narrows
+    point by point; the point before the first one outside it is the next knot.  Points are looked
+    at in blocks that double."""
     n = len(keys)
     if n <= 2 or eps < 0:
         return keys.copy(), pos.copy()
-    at = [0]
-    base, low, high = 0, -np.inf, np.inf
-    for i in range(1, n):
-        dx, dy = keys[i] - keys[base], pos[i] - pos[base]
-        slope = dy / dx
-        if not low <= slope <= high:
-            base = i - 1
-            at.append(base)
-            dx, dy = keys[i] - keys[base], pos[i] - pos[base]
-            low, high = (dy - eps) / dx, (dy + eps) / dx
-            continue
-        low, high = max(low, (dy - eps) / dx), min(high, (dy + eps) / dx)
-    if at[-1] != n - 1:
-        at.append(n - 1)
+    at, base = [0], 0
+    while base < n - 1:
+        low, high, i, size = -np.inf, np.inf, base + 1, 64
+        while i < n:
+            j = min(n, i + size)
+            dx, dy = keys[i:j] - keys[base], pos[i:j] - pos[base]
+            lows = np.maximum(low, np.maximum.accumulate((dy - eps) / dx))
+            highs = np.minimum(high, np.minimum.accumulate((dy + eps) / dx))
+            slope = dy / dx
+            outside = (slope < np.append(low, lows[:-1])) | (slope > np.append(high, highs[:-1]))
+            if outside.any():
+                i += int(outside.argmax())
+                break
+            low, high, i, size = lows[-1], highs[-1], j, 2 * size
+        base = n - 1 if i >= n else i - 1
+        at.append(base)
     return keys[at], pos[at]
 
 
@@ -86,13 +90,25 @@ class SplineModel:
         """Positions by linear interpolation, clamped to both ends."""
         return np.interp(np.asarray(y, float), self.keys, self.pos)
 
+    def position(self, y: float) -> float:
+        """estimate() of one key, by its segment."""
+        i = self.segment(y)
+        a, b = max(0, i - 1), i
+        if y <= self.keys[a] or a == b:
+            return float(self.pos[a])
+        if y >= self.keys[b]:
+            return float(self.pos[b])
+        return float(self.pos[a] + (self.pos[b] - self.pos[a]) * (y - self.keys[a]) / (self.keys[b] - self.keys[a]))
+
     def errors(self, keys: np.ndarray, pos: np.ndarray) -> tuple[float, float]:
         e = np.abs(self.estimate(keys) - pos)
         return float(e.mean()), float(e.max())
 
 
 def spline_models(points: DataFrame, y: str = "y", by: str = "pid", eps: float = 32.0) -> DataFrame:
-    """by, knots, n_keys, avg_error, max_error: one model per partition of an index.
+    """by, knots, first_knots, n_keys, last, avg_error, max_error: one model per partition (or file) of an
+    index.  knots: of the last position of each key's run; first_knots: of its first position; last: the
+    greatest position.
 
     A task holds the distinct keys of a partition, not its rows.
     """
@@ -100,9 +116,14 @@ def spline_models(points: DataFrame, y: str = "y", by: str = "pid", eps: float =
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key")
         keys, pos = group["key"].to_numpy(float), group["pos"].to_numpy(float)
-        k, p = greedy_spline(keys, pos, eps)
-        avg, most = SplineModel(k, p).errors(keys, pos)
-        return pd.DataFrame({"by": [group["by"].iloc[0]], "knots": [[{"key": a, "pos": b} for a, b in zip(k, p, strict=True)]], "n_keys": [len(keys)], "avg_error": [avg], "max_error": [most]})
-
-    runs = cdf(points, y, by).select(F.col(by).cast("long").alias("by"), F.col(y).cast("double").alias("key"), "pos")
-    return runs.groupBy("by").applyInPandas(fit, "by long, knots array<struct<key:double,pos:double>>, n_keys long, avg_error double, max_error double").withColumnRenamed("by", by)
+        first = np.append(0.0, pos[:-1] + 1)
+        out, errors = [], []
+        for p in (pos, first):
+            knots = greedy_spline(keys, p, eps)
+            errors.append(SplineModel(*knots).errors(keys, p))
+            out.append([[{"key": a, "pos": b} for a, b in zip(*knots, strict=True)]])
+        return pd.DataFrame({"by": [group["by"].iloc[0]], "knots": out[0], "first_knots": out[1], "n_keys": [len(keys)], "last": [int(pos[-1])], "avg_error": [errors[0][0]], "max_error": [max(e for _, e in errors)]})
+
+    kind, knots = dict(points.dtypes)[by], "array<struct<key:double,pos:double>>"
+    runs = cdf(points, y, by).select(F.col(by).alias("by"), F.col(y).cast("double").alias("key"), "pos")
+    return runs.groupBy("by").applyInPandas(fit, f"by {kind}, knots {knots}, first_knots {knots}, n_keys long, last long, avg_error double, max_error double").withColumnRenamed("by", by)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as g
 from gridloom.functions.schema import Circle, Edge, Point, Rect, TimedPoint
-from gridloom.operators import filters, index, joins, nearest, partition, spline, stats
+from gridloom.operators import filters, index, joins, learned, nearest, partition, spline, stats
 from gridloom.operators.quadtree import QuadTree
 from gridloom.sources import readers, sinks
 from gridloom.streaming import points as streaming
@@ -232,3 +232,102 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["min_x"], r["max_x"], r["n"]) for r in spark.table("boxes").collect()) == [(0, 1, 2), (2, 3, 2), (4, 5, 2)]
+
+
+def test_joins_take_an_index_and_prune(spark, tmp_path):
+    df = frame(spark, cloud(2000))
+    i = index.build_index(df, str(tmp_path / "i"), "kdb", 16)
+    rects = spark.createDataFrame([(0, -49.0, 0.0, -45.0, 3.0), (1, 10.0, 2.0, 12.0, 2.0), (2, 5.0, 5.0, 1.0, 1.0)], "rect_id long, x0 double, y0 double, x1 double, y1 double")
+    key = lambda d, *c: sorted(map(tuple, d.select("id", *c).collect()))
+    assert key(joins.rect_join(i, rects), "rect_id") == key(joins.rect_join(df, rects), "rect_id") == key(joins.rect_join_plain(i, rects), "rect_id")
+    plan = joins.rect_join(i, rects)._jdf.queryExecution().executedPlan().toString()
+    assert "pid" in plan.split("PartitionFilters: [", 1)[1][:60]
+    assert {r["rect_id"]: r["n"] for r in joins.rect_join_count(i, rects, "rect_id").collect()} == {r["rect_id"]: r["n"] for r in joins.rect_join_count(df, rects, "rect_id").collect()}
+    ring = [(-40.0, 0.0), (-20.0, 0.0), (-30.0, 9.0)]
+    polys = spark.createDataFrame([(1, ring), (2, [(x + 40, y) for x, y in ring])], "poly_id long, ring array<struct<x:double,y:double>>")
+    assert key(joins.polygon_join(i, polys), "poly_id") == key(joins.polygon_join(df, polys), "poly_id")
+    path = str(tmp_path / "pairs")
+    assert key(joins.run_join(i, rects, write=True, path=path), "rect_id") == key(spark.read.parquet(path), "rect_id")
+    with pytest.raises(ValueError):
+        joins.run_join(i, rects, write=True)
+
+
+def test_polygons_in_code_and_by_arrays_agree(spark, monkeypatch):
+    r = random.Random(9)
+    rings = [(k, [(r.uniform(-50, 50), r.uniform(0, 9)) for _ in range(r.randint(3, 7))]) for k in range(6)]
+    polys = spark.createDataFrame(rings, "poly_id long, ring array<struct<x:double,y:double>>")
+    run = lambda: sorted(map(tuple, joins.polygon_join(frame(spark, cloud(400)), polys).select("poly_id", "id").collect()))
+    a = run()
+    monkeypatch.setattr(joins, "FEW_POLYGONS", 2)
+    assert a == run() and a
+
+
+def test_rect_join_of_very_different_sizes(spark):
+    r = random.Random(4)
+    rects = spark.createDataFrame([(k, x := r.uniform(-60, 50), 0.0, x + 10.0 ** r.randint(-6, 3), 9.0) for k in range(60)], "rect_id long, x0 double, y0 double, x1 double, y1 double")
+    pts = frame(spark, cloud(300))
+    key = lambda df: sorted(map(tuple, df.select("id", "rect_id").collect()))
+    assert key(joins.rect_join(pts, rects)) == key(joins.rect_join_plain(pts, rects))
+    assert joins.rect_join(pts, rects.limit(0)).count() == 0
+
+
+def test_selections_prune_an_index(spark, tmp_path):
+    r = random.Random(5)
+    pts = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(3000)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pts)], "id long, lat double, lon double")
+    i = index.build_index(df, str(tmp_path / "g"), "rtree", 25, "lat", "lon")
+    for lat, lon, d in ((10, 20, 5e5), (0, 179.5, 9e5), (88, 0, 5e5)):
+        got = filters.distance_query(i, lat, lon, d)
+        assert ids(got) == ids(filters.distance_query(df, lat, lon, d))
+        assert len(i.pids(g.degree_boxes(lat, lon, d))) < 25 and "pid" in got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1][:60]
+    c = index.build_index(frame(spark, cloud(2000)), str(tmp_path / "c"), "kdb", 16)
+    for got in (filters.circle_query(c, Circle(-40, 3, 2)), filters.point_query(c, Point(-40, 3)), nearest.knn(c, Point(-40, 3), 5, ("id",)), nearest.nearest(c, Point(900, 900), ("id",))):
+        assert "pid" in got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1][:60]
+    assert c == index.Index(spark, c.path) and len({c, index.Index(spark, c.path)}) == 1 and "2000 rows" in repr(c)
+
+
+def test_knn_of_large_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nearest, "WIDE", 10)
+    df = frame(spark, cloud(900))
+    i = index.build_index(df, str(tmp_path / "i"), "quad", 9)
+    for q, k in ((Point(0, 4), 5), (Point(500, 500), 3), (Point(-50, 0), 40)):
+        assert ids(nearest.knn(i, q, k, ("id",))) == ids(nearest.knn(df, q, k, ("id",)))
+    qs = spark.createDataFrame([(0, 0.0, 4.0), (1, 70.0, 2.0)], "qid long, qx double, qy double")
+    rows = lambda src: sorted(map(tuple, nearest.knn_join(qs, src, 7, ("id",)).select("qid", "rank", "id").collect()))
+    assert rows(i) == rows(df)
+
+
+@pytest.mark.parametrize("pts", [cloud(3000), [(x, float(x * x)) for x in range(400)], [(1, 2)] * 50], ids=["cloud", "squares", "equal"])
+def test_learned_index(spark, tmp_path, pts):
+    df = frame(spark, pts)
+    i = index.build_index(df, str(tmp_path / "i"), "kdb", 4)
+    models = learned.build_models(i, 2.0)
+    assert models.where("max_error > 2.000001").isEmpty() and models.agg(F.sum(F.col("last") + 1)).first()[0] == len(pts)
+    r = random.Random(1)
+    low, high = min(y for _, y in pts), max(y for _, y in pts)
+    for _ in range(6):
+        a, b = sorted((r.uniform(low - 1, high + 1), r.uniform(low - 1, high + 1)))
+        rect = Rect(-1000, a, 1000, b)
+        want = ids(filters.range_query(df, rect))
+        assert ids(learned.learned_range_query(i, rect)) == want and learned.count_bound(i, rect) >= len(want)
+    if len(pts) == 400:  # slices are narrow
+        assert learned.count_bound(i, Rect(-1000, 100.0, 1000, 200.0)) < 60
+
+
+def test_large_trees_are_searched(spark, monkeypatch):
+    df = frame(spark, cloud(3000))
+    for m in ("kdb", "quad", "rtree"):
+        monkeypatch.setattr(partition, "INLINE_LEAVES", 256)
+        a = {r["id"]: r["pid"] for r in partition.with_pid(df, m, 40).collect()}
+        monkeypatch.setattr(partition, "INLINE_LEAVES", 1)
+        b = {r["id"]: r["pid"] for r in partition.with_pid(df, m, 40).collect()}
+        assert a == b and len(set(a.values())) > 10
+
+
+def test_storage(spark):
+    from gridloom.sources import storage
+
+    before = spark.conf.get(storage.ARROW_ROWS)
+    seen = storage.stored(spark.range(100).mapInPandas(lambda bs: (b.assign(id=len(b)) for b in bs), "id long"), 7)
+    assert seen.agg(F.max("id")).first()[0] <= 7 and spark.conf.get(storage.ARROW_ROWS) == before
+    assert storage.scratch(spark).startswith(storage.shared_dir(spark))
