@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import pyarrow
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +51,41 @@ def sampled(share: Column | float, *of: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") < (share if isinstance(share, Column) else F.lit(share)) * float(1 << 53)
 
 
+#: Rows of files are numbered by FILE_BITS of the file's hash and their place in it; files that this may number.
+FILE_BITS, PLACE_BITS, FILES = 37, 26, 200_000
+
+
+def _place_in_files(docs: DataFrame) -> Column | None:
+    """A number for each row of a scan of files, from its file's hash and its place in the file; None if docs
+    is no such scan, or there is no number for each.  At most FILES rows come to the driver."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    try:
+        path, place = (docs.metadataColumn("_metadata").getField(f) for f in ("file_path", "row_index"))
+        mark = lambda salt: F.xxhash64(F.concat(path, F.lit(f"#{salt}"))).bitwiseAND((1 << FILE_BITS) - 1)
+        marks = F.array(*[mark(salt) for salt in range(16)])
+        files = docs.select(marks.alias("marks"), place.alias("place")).groupBy("marks").agg(F.max("place").alias("most")).limit(FILES + 1).collect()
+    except AnalysisException:
+        return None
+    if len(files) > FILES or any(f["most"] >> PLACE_BITS for f in files):
+        return None
+    salt = next((s for s in range(16) if len({f["marks"][s] for f in files}) == len(files)), None)
+    return None if salt is None else F.shiftleft(mark(salt), PLACE_BITS).bitwiseOR(place)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, stored so that it stays, and that column's name: the identity
-    of rows whose ids are null or repeat."""
+    """docs with a number for each row that stays whenever docs is read, and that column's name: the
+    identity of rows whose ids are null or repeat.  Rows of files have it from their place in them;
+    others are numbered and stored."""
     name, taken = "_row", {c.lower() for c in docs.columns}
     while name in taken:
         name += "_"
+    place = _place_in_files(docs)
+    if place is not None:
+        return docs.withColumn(name, place), name
     return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 

@@ -804,3 +804,20 @@ def test_op10_clusters_and_plans(spark):
         p = simhash.plan(np.array(fps, np.uint64), n)
         used = sum(t + 1 for _, t in p)
         assert used == simhash.TAU + 1 and len({b for bits, _ in p for b in bits}) == sum(len(bits) for bits, _ in p)
+
+
+def test_rows_are_numbered_alike_in_every_job(spark, tmp_path):
+    docs_ = spark.range(500).selectExpr("id % 7 AS doc_id", "concat('t', id) AS text", "1 AS _row")
+    docs_.repartition(3).write.parquet(str(tmp_path / "d"))
+    read = lambda: spark.read.parquet(str(tmp_path / "d"))
+    a, name = common.numbered(read())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    b, _ = common.numbered(read())
+    one, two = (sorted((r["text"], r[name]) for r in x.collect()) for x in (a, b))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert name == "_row_" and one == two and len({n for _, n in one}) == 500
+    for other in (docs_, read().union(read()), read().selectExpr("doc_id", "explode(array(text, text)) AS text")):
+        assert common._place_in_files(other) is None
+        c, name = common.numbered(other)
+        assert c.select(name).distinct().count() == other.count()
