@@ -33,6 +33,7 @@ from gridloom.llm.url_filter import host_and_path
 BINS = 1 << 15
 SAMPLE = 6000
 PER_LANGUAGE = 300
+LANGUAGES = 400  # names in the labels that are learnt, the most frequent ones; bounds the model
 KAPPA = 20.0
 MIN_TRIGRAMS = 30
 MIN_POSTERIOR = 0.4
@@ -74,9 +75,9 @@ class TextModel:
 def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> TextModel:
     """Counts trigrams of labelled documents, taken by a hash of id and text: of each language about
     sample over the number of languages, but PER_LANGUAGE at least, or all it has.  Every
-    language with a label is learnt."""
+    language with a label is learnt, of more than LANGUAGES names the most frequent ones."""
     rows = id_text(docs, F.col(lang).cast("string").alias("lang"), text=text, doc_id=doc_id).where("lang is not null")
-    known = stored(rows.groupBy("lang").agg(F.count("*").alias("labelled")))
+    known = stored(rows.groupBy("lang").agg(F.count("*").alias("labelled")).orderBy(F.desc("labelled"), "lang").limit(LANGUAGES))
     quota = max(PER_LANGUAGE, sample // max(1, known.count()))
     share = known.select(F.col("lang").alias("known"), (F.lit(float(quota)) / F.col("labelled")).alias("share"))
     rows = rows.join(F.broadcast(share), F.col("lang") == F.col("known")).where(sampled(F.col("share"), "doc_id", "text")).select("doc_id", "text", "lang")  # share: a row per language

@@ -18,8 +18,7 @@ however large, meets in one task.
 Edge cases: null text has size 0 and is taken 0 words; an empty table or one
 without words gives targets of 0; u follows from id and text, so rows of one id, or
 without any, are ranked apart, and only rows that repeat both are ranked alike;
-sources are one row each on the driver's side, as many as there are; extra columns
-are dropped.
+sources are rows of a table, as many as there are; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, id_text, stored, table
+from gridloom.llm.common import WORD, id_text, partitions, stored, table
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -37,24 +36,38 @@ DIGIT = 4096
 DIGITS = 2
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with the sums of some columns over all rows before them in an order, and "<name>_all" over all rows.
+
+    Rows are dealt by ranges of the order and stored; the ranges' sums, as many rows as
+    partitions, give each range its start, so no task orders all rows.
+    """
+    spark = rows.sparkSession
+    dealt = stored(rows.repartitionByRange(partitions(spark), *order).withColumn("_range", F.spark_partition_id()))
+    parts = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.select("_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}_before") for k in sums], *[F.sum(f"_{k}").over(everything).alias(f"{k}_all") for k in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(parts), "_range").withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{k}_before") for k, c in sums.items()})
+    return out.select(*rows.columns, *sums, *[f"{k}_all" for k in sums])
+
+
 def source_targets(sizes: DataFrame, total_share: float = TOTAL_SHARE, max_repeats: int = MAX_REPEATS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target from source and source_size.  One row per source."""
-    w = Window.orderBy(F.col("source").isNull(), "source")
-    k = (F.row_number().over(w) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (k + 1).cast("int"))
-    rows = sizes.select("source", "source_size", weight.alias("weight"))
+    """source, source_size, target from source and source_size.  One row per source, of any number."""
+    by_name = [F.col("source").isNull(), F.col("source")]
+    rows = running(sizes.select("source", "source_size"), by_name, {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = rows.select("source", "source_size", weight.alias("weight"))
     # Water level: fill the sources in the order in which they reach their limit.
     cap = max_repeats * F.col("source_size")
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("full", F.coalesce(F.sum(cap).over(upto), F.lit(0))).withColumn("lighter", F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-    rows = rows.withColumn("total", F.sum("source_size").over(everything)).withColumn("heavy", F.sum("weight").over(everything))
-    level = (total_share * F.col("total") - F.col("full")) / (F.col("heavy") - F.col("lighter"))
+    sums = {"full": cap, "lighter": F.col("weight"), "sizes": F.col("source_size")}
+    rows = running(rows, [F.col("source_size") / F.col("weight"), *by_name], sums)
+    level = (total_share * F.col("sizes_all") - F.col("full")) / (F.col("lighter_all") - F.col("lighter"))
     rows = rows.withColumn("level", level).withColumn("open", F.col("weight") * level <= cap)
     # The first source that stays below its limit sets the level for it and all after it.
-    lam = F.max(F.when(F.col("open"), F.struct(-F.col("full"), F.col("level")))).over(everything)["level"]
-    rows = rows.withColumn("lam", lam)
+    lam = rows.agg(F.max(F.when(F.col("open"), F.struct(-F.col("full"), F.col("level"))))["level"].alias("lam"))
+    rows = rows.crossJoin(F.broadcast(lam))  # one row
     target = F.when(F.col("lam").isNull() | (F.col("weight") * F.col("lam") > cap), cap.cast("double")).otherwise(F.col("weight") * F.col("lam"))
     return rows.select("source", "source_size", target.alias("target"))
 
@@ -74,7 +87,7 @@ def pareto_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sour
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = stored(targets.withColumn("p", F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(0.0)).coalesce(1))
+    targets = stored(targets.withColumn("p", F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(0.0)))
 
     u, w = F.col("u"), F.least(F.lit(1.0), (F.col("size") + 1) / F.lit(float(FULL_WORDS)))
     q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")) * w)
@@ -91,7 +104,7 @@ def pareto_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sour
         part = part.join(border, F.col("source").eqNullSafe(F.col("b_source")) & (F.floor(F.col("d") / DIGIT) == F.col("digit") if k > 1 else F.lit(True)))
         cum = F.sum("words").over(Window.partitionBy("source").orderBy("d")) + F.col("before")
         part = part.withColumn("upto", cum).where("upto >= left and upto - words < left")
-        border = stored(part.groupBy(F.col("source").alias("b_source")).agg(F.first("left").alias("left"), F.min("d").alias("digit"), F.min(F.col("upto") - F.col("words")).alias("before")).coalesce(1))
+        border = stored(part.groupBy(F.col("source").alias("b_source")).agg(F.first("left").alias("left"), F.min("d").alias("digit"), F.min(F.col("upto") - F.col("words")).alias("before")))
     drawn = drawn.join(border.select("b_source", "digit", "before"), F.col("source").eqNullSafe(F.col("b_source")), "left").drop("b_source")
     last = F.col(f"d{DIGITS}")
     inside = F.col("p") > 0

@@ -68,15 +68,17 @@ def gram_ratios(learn: DataFrame, wanted: DataFrame) -> DataFrame:
     whole = _grams(learn, "a", "b").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     counts = stored(_suffixes(whole, "a", "b").groupBy("k", "part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     context = F.expr("substring(part, 1, k)")
+    # stored, so that the join below deals both sides itself and can split the grams of a hot context
     totals = counts.groupBy("k", context.alias("context")).agg(
         F.sum("a").alias("total_a"), F.sum("b").alias("total_b"),
         F.count_if(F.col("a") > 0).alias("types_a"), F.count_if(F.col("b") > 0).alias("types_b"),
     )
+    totals = stored(totals)
     parts = _suffixes(wanted.select("gram").distinct()).withColumn("context", context)
     found = parts.join(counts, ["k", "part"], "left")
     # the empty context is that of every gram: its totals are one row, which goes to all tasks
     empty = F.broadcast(totals.where("k = 0").drop("k", "context"))
-    found = found.where("k > 0").join(totals.where("k > 0"), ["k", "context"], "left").unionByName(found.where("k = 0").join(empty, F.lit(True), "left"))
+    found = found.where("k > 0").join(totals.where("k > 0").hint("merge"), ["k", "context"], "left").unionByName(found.where("k = 0").join(empty, F.lit(True), "left"))
     zero = F.lit(0).cast("double")
     levels = F.sort_array(F.collect_list(F.struct("k", *[F.coalesce(F.col(c).cast("double"), zero).alias(c) for c in ("a", "total_a", "types_a", "b", "total_b", "types_b")])))
     found = found.groupBy("gram").agg(levels.alias("levels"))

@@ -109,6 +109,31 @@ def test_deep_shallow():
     assert all(common[i] == next((k for k in range(50) if s[i][k] != s[i - 1][k]), 50) for i in range(1, 500))
 
 
+def test_multikey():
+    r = np.random.default_rng(3)
+    for n, top in ((0, 9), (1, 9), (2, 1), (700, 3), (3000, 1 << 60), (3000, 40)):
+        x = r.integers(0, top, (n, 3)).astype(np.uint64)
+        order, group = suffix_dedup.multikey(x)
+        rows_ = [tuple(t) for t in x[order].tolist()]
+        assert rows_ == sorted(map(tuple, x.tolist()))
+        assert all((rows_[i] == rows_[i - 1]) == (group[i] == group[i - 1]) for i in range(1, n))
+
+
+def test_op1_contexts_of_one_print(monkeypatch):
+    import zstandard
+
+    r = random.Random(7)
+    text = "".join(r.choice("abcdefghij ") for _ in range(4000)).encode()
+    batch = suffix_dedup.Batch(np.array([1], np.int64).tobytes(), np.array([len(text) * 2], np.int64).tobytes(), zstandard.compress(text * 2))
+    every = np.arange(len(batch.runs.anchor))
+    want = suffix_dedup.Entries(batch, every, 12)
+    monkeypatch.setattr(suffix_dedup, "_prints", lambda c, most, least: np.zeros(len(c), np.uint64))
+    got = suffix_dedup.Entries(batch, every, 12)
+    assert len(got.doc) == len(want.doc) < len(every) and (np.diff(got.shard) >= 0).all()
+    pairs = lambda e: {frozenset(np.flatnonzero(e.of == k).tolist()) for k in range(len(e.doc))}
+    assert pairs(got) == pairs(want)
+
+
 # 2 -----------------------------------------------------------------------------
 
 
@@ -138,8 +163,31 @@ def test_op2_ranks_rows_of_one_id_apart(spark):
     assert len(got) == 3000 and all(abs(taken - target) <= 4 for target, taken in by.items())
 
 
+def test_op2_many_sources(spark):
+    from pyspark.sql import functions as F
+
+    docs_ = spark.range(4000).select("id", F.concat(F.lit("a "), F.repeat(F.lit("b "), (F.col("id") % 9).cast("int"))).alias("text"), F.format_string("s%04d", F.col("id") % 1500).alias("source")).withColumnRenamed("id", "doc_id")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(docs_.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).cast("long").alias("source_size"))).collect()}
+    size = Counter()
+    for r in docs_.collect():
+        size[r["source"]] += len(r["text"].split())
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}
+    left, open_, want = 1.5 * sum(size.values()), set(size), {}
+    while True:  # share by weight, fix those above their limit, share again
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 2 * size[s]}
+        if not over:
+            break
+        for s in over:
+            want[s] = 2 * size[s]
+            left -= 2 * size[s]
+        open_ -= over
+    want |= {s: weight[s] * level for s in open_}
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
+
+
 def test_op2_short_documents_have_lower_odds(spark):
-    docs_ = spark.createDataFrame([(i, "a " * (4 if i % 2 else 200), "ab"[i % 4 // 2]) for i in range(8000)], "doc_id long, text string, source string")
+    docs_ = spark.createDataFrame([(i, "a " * (4 if i % 2 else 200), "abc"[i // 2 % 3]) for i in range(9000)], "doc_id long, text string, source string")
     got = mixing.pareto_mix(docs_).where("target < 2 * source_size AND target > source_size").collect()
     share = lambda size: sum(r["copies"] == 2 for r in got if r["size"] == size) / sum(r["size"] == size for r in got)
     assert got and share(4) < 0.5 * share(200)
