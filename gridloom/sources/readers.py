@@ -39,7 +39,7 @@ def _fields(spark: SparkSession, path: str, header: bool, last: int) -> DataFram
     if not header:
         return out
     first = out.where("_m_block = 0").groupBy("_m_file").agg(F.min("_m_at").alias("_first"))
-    return out.join(F.broadcast(first), "_m_file", "left").where("_m_block > 0 OR _m_at > _first").drop("_first")  # one row per file
+    return out.join(first, "_m_file", "left").where("_m_block > 0 OR _m_at > _first").drop("_first")
 
 
 def csv_points(spark: SparkSession, path: str, offset: int = 0, header: bool = False, mode: str = "fail") -> DataFrame:
