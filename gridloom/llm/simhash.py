@@ -548,9 +548,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     roots = components(edges)
     at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     left = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    edges = stored(edges.union(verified(stored(left))))
+    more = verified(stored(left))
+    if not more.isEmpty():
+        edges = stored(edges.union(more))
+        roots = components(edges)
     if not big.isEmpty():
-        joined = stored(big.join(components(edges), F.col("key") == F.col("node"), "left").select("bucket", "sets", "key", F.coalesce("root", "key").alias("root")))
+        joined = stored(big.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "sets", "key", F.coalesce("root", "key").alias("root")))
         several = joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         blocks = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
         mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -560,13 +563,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
         if not maybe.isEmpty():
             dealt = maybe.join(sets_of(maybe.select("key")), "key")
             more = dealt.repartition(k, "bucket", "block").sortWithinPartitions("bucket", "block", "key").mapInPandas(compare, "u long, v long")
-            edges = stored(edges.union(more.distinct()), TEXT_ROWS)
-    least = lambda c, name: vertices.select(F.col("key").alias(c), F.col("least").alias(name))
-    across = edges.join(least("u", "a"), "u").join(least("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    alike = told.select("doc_id", "key").join(vertices.select("key", "least"), "key").where("doc_id <> least").select("least", "doc_id")
-    comps = components(across.union(alike))
-    ids = id_text(docs, text=text, doc_id=doc_id).select("doc_id")
-    return ids.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+            more = stored(more.distinct(), TEXT_ROWS)
+            if not more.isEmpty():
+                roots = components(edges.union(more))
+    rooted = stored(vertices.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = told.select("doc_id", "key").join(rooted.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    lone = id_text(docs, text=text, doc_id=doc_id).where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("component_id"))
+    return named.unionByName(lone)
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
