@@ -65,7 +65,7 @@ HOME = frozenset("article main content post entry story body text".split())
 #: Sections whose marks an element of most of the page's words is not believed.
 DOUBTED = frozenset("header form dialog fieldset".split())
 
-DECAY = 0.93
+DECAY = 0.96
 W_NEXT, W_SIBLING = 1.2, 0.8
 SAMPLE, SAMPLE_BYTES = 1500, 200_000
 EPOCHS, RATE, PULL = 150, 0.1, 2e-3
@@ -276,7 +276,7 @@ def prior(feature: str) -> float:
     if kind == "in":
         return 3.0 if name == "article" else 0.0 if name == "article header" else -9.0
     if kind in ("c", "s"):
-        return (-9.0 if kind == "c" else -7.0) if name in AWAY else 0.7 if name in HOME else 0.0
+        return (-9.0 if kind == "c" else -8.5) if name in AWAY else 0.7 if name in HOME else 0.0
     return {"bias": -1.0, "length": 2.5, "links": -3.0, "stop": 0.5, "own:p": 0.3, "own:h1": 0.5}.get(feature, 0.0)
 
 
