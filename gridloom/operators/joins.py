@@ -13,8 +13,10 @@ from gridloom.functions import geometry as g
 from gridloom.functions.schema import Rect
 from gridloom.sources.sinks import write_result
 
-#: Rectangles whose partitions are looked up one by one; polygons and edges that become one generated expression.
+#: Rectangles whose partitions are looked up one by one, and that are broadcast; polygons and edges that become
+#: one generated expression; vertices of all polygons that are broadcast.
 FEW_RECTS, FEW_POLYGONS, FEW_EDGES = 10_000, 32, 512
+FEW_VERTICES = 200_000
 
 
 def _inside(x: str, y: str):
@@ -52,7 +54,8 @@ def rect_join(points, rects: DataFrame, x: str = "x", y: str = "y") -> DataFrame
         raise ValueError(f"columns {sorted(taken)} are used by the join")
     rects = rects.where((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")) & ~F.isnan("x1") & ~F.isnan("y1"))
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    size = rects.agg(F.percentile_approx(width, 0.5).alias("w"), F.percentile_approx(height, 0.5).alias("h"), F.max(width).alias("W"), F.max(height).alias("H")).first()
+    vertices = F.sum(F.size("ring")) if "ring" in rects.columns else F.count("*")
+    size = rects.agg(F.count("*").alias("n"), vertices.alias("vertices"), F.percentile_approx(width, 0.5).alias("w"), F.percentile_approx(height, 0.5).alias("h"), F.max(width).alias("W"), F.max(height).alias("H")).first()
     if size["w"] is None:
         return points.join(rects, F.lit(False))
     w = size["w"] or size["W"] or 1.0
@@ -62,8 +65,13 @@ def rect_join(points, rects: DataFrame, x: str = "x", y: str = "y") -> DataFrame
     rects = rects.withColumn("_l", F.greatest(over("x0", "x1", w), over("y0", "y1", h)).cast("int"))
     cell = lambda c, side: F.floor(F.col(c) / (F.lit(side) * F.pow(F.lit(2.0**LEVEL), F.col("_l")))).cast("long")
     spread = rects.withColumn("_cx", F.explode(F.sequence(cell("x0", w), cell("x1", w)))).withColumn("_cy", F.explode(F.sequence(cell("y0", h), cell("y1", h))))
-    placed = points.where(g.is_point(x, y)).withColumn("_l", F.explode(F.array(*[F.lit(v) for v in range(levels)])))
+    used, few = range(levels), size["n"] <= FEW_RECTS and size["vertices"] <= FEW_VERTICES
+    if few:
+        used = sorted(r["_l"] for r in rects.select("_l").distinct().collect())
+    placed = points.where(g.is_point(x, y)).withColumn("_l", F.explode(F.array(*[F.lit(v) for v in used])))
     placed = placed.withColumns({"_cx": cell(x, w), "_cy": cell(y, h)})
+    # few rectangles, of a few cells each, go to the points; else both sides are dealt by cell.  Points never go to all tasks.
+    spread = F.broadcast(spread) if few else spread.hint("merge")
     return placed.join(spread, ["_l", "_cx", "_cy"]).where(_inside(x, y)).drop("_l", "_cx", "_cy")
 
 

@@ -77,7 +77,7 @@ def knn_join(queries: DataFrame, points, k: int, ties: tuple[str, ...], qid: str
     Points and queries meet in square cells; a query looks at its 3 x 3 cells and is
     settled once its k-th neighbour is no farther than a cell's width, as all points
     nearer than that are in those cells.  Unsettled queries go on with cells of four
-    times the width.  Rounds are as many as the logarithm of the extent.  A query's
+    times the width, or more where all of them lie outside the points' box.  Rounds are as many as the logarithm of the extent.  A query's
     candidates are first cut to k in each of SALTS parts, so that a dense cell does not
     meet in one task.  The cells that a round looks at go to the scan as one range; an
     Index drops the partitions outside it.
@@ -121,6 +121,8 @@ def knn_join(queries: DataFrame, points, k: int, ties: tuple[str, ...], qid: str
         settled = found.join(done, "qid", "left_semi")
         out = settled if out is None else out.unionByName(settled)
         left = stored(left.join(done, "qid", "left_anti"))
-        if left.isEmpty():
+        away = [F.greatest(F.lit(a) - F.col(c), F.col(c) - F.lit(b), F.lit(0.0)) for c, a, b in (("_qx", s.box.x0, s.box.x1), ("_qy", s.box.y0, s.box.y1))]
+        gap = left.agg(F.min(F.sqrt(away[0] * away[0] + away[1] * away[1]))).first()[0]  # null: all are settled
+        if gap is None:
             return out
-        w *= 4
+        w = max(4 * w, w + 1.25 * gap)  # nothing is nearer than the gap to the points' box
