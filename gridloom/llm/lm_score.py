@@ -6,19 +6,18 @@ absolute discounting with D = DISCOUNT:
     p3(w | u, v) = max(c(u v w) - D, 0) / c(u v) + g(u v) p2(w | v),  g(u v) = D types(u v) / c(u v);
 a context that was not seen hands on to the next one.  Every word of the training
 rows is counted, none is put in a class; these sum to 1 over all words and one unseen
-word.  A word v that makes up a large share of the corpus is told apart by a hash of
-the word before it, and so is a frequent pair by the word before that, into as many
-classes as keep a class's counts within a shard (classes of v are contexts of their own).
+word.  The model follows from the training rows alone: not from the number of shards,
+nor from which words the sample below calls hot.
 
 A trie holds the counts of a shard of contexts v: the contexts; for each the words
 after it, with codes of the discounted share; the words u before it, with codes of
 g(u v); and for each (u, v) the words after, as places among the successors of v, with
 codes.  All sequences are Elias-Fano coded: contexts and runs' pointers are monotone,
-runs are once each is shifted past the one before.  Codes are 8 bits from codebooks cut
-by rank and by value.  A query finds its context, reads two pointers, and searches
-among that context's successors alone: the upper bits lead to the few candidates, the
-lower bits decide.  Tries are written to a file, unlinked at once and read through a
-memory map.
+runs are once each is shifted past the one before.  Codes are logarithms in steps of
+FINE, so that a value has one code in any shard.  A query finds its context, reads two
+pointers, and searches among that context's successors alone: the upper bits lead to the
+few candidates, the lower bits decide.  Tries are written to a file, unlinked at once and
+read through a memory map.
 
 Distribution.  Texts are packed in batches of some BATCH bytes, kept in the shared
 folder; texts above that are cut between words into several.
@@ -30,9 +29,16 @@ folder; texts above that are cut between words into several.
    numbers a and b, log-coded in steps of STEP: p3 = a + b p1(w).
 3  The batch adds up log10(a + b p1(w)) over the tokens of each text.
 A shard holds what some SHARD_BYTES of text give at any size of the corpus, and shards
-are dealt by their number.  Words outside the FREQUENT words of a bounded sample, which
-have short codes, are known by 48 bits of hash in n-grams (never in p1).  Frequent
-words, pairs and classes of that sample steer cost, and the classes above.
+are dealt by their number.  A word v that makes up a large share of the corpus would not
+fit: its trigrams are dealt by u, and those of a hot pair (u, v) by w.  A part (u, v)
+then answers with its own two codes, a part of a hot pair with counts; the batch sends
+the bigrams (v, w) of hot words as well, dealt by w, and is told their counts; c(v),
+types(v), c(u v) and types(u v) are summed over the parts, a row for each hot word and
+pair.  From these the batch reckons the same a and b, in the same codes.
+
+Words outside the FREQUENT words of a bounded sample, which have short codes, are known
+by 48 bits of hash in n-grams (never in p1).  Which words and pairs that sample calls
+frequent or hot steers cost alone.
 
 Edge cases: null and empty texts have the end token only; texts of any length are
 taken whole; repeated rows are scored alike and counted as often as they occur; a null
@@ -46,7 +52,8 @@ import os
 import re
 import tempfile
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -66,11 +73,12 @@ SAMPLE = 4000
 FREQUENT = 65_000
 FREQUENT_BYTES = 64
 PAIR_LEAST = 50  # occurrences of a pair in the sample
-SPREAD = 4  # a class holds at most about a SPREADth of a shard
+SPREAD = 4  # a part of a hot word or pair holds at most about a SPREADth of a shard
 START, END = 0, 1
 RARE = 1 << 16  # ids from here on are 48 bits of hash
 ESCAPE = RARE - 1
-STEP = 0.04
+BY_U, BY_W = 1 << 50, 1 << 51  # marks of the parts of hot words and of hot pairs; the word is in their low 16 bits
+STEP, FINE = 0.04, 0.0002
 NONE = -(1 << 63)
 _END_WORD = b" "  # no word holds a space
 _GAP = re.compile(rb"[\x09-\x0d ]")
@@ -83,8 +91,6 @@ _M = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high parts in unary, with a rank for each word of 64 bits."""
 
-    CHUNK = 1 << 16
-
     def __init__(self, n: int, low: int, lower: np.ndarray, upper: np.ndarray, ranks: np.ndarray):
         self.n, self.low, self.lower, self.upper, self.ranks = n, low, lower, upper, ranks
         self.zeros = np.arange(len(ranks), dtype=np.int64) * 64 - ranks  # before each word
@@ -94,16 +100,21 @@ class EliasFano:
         x = x.astype(np.uint64)
         n = len(x)
         low = max(0, int(x[-1] // np.uint64(n)).bit_length() - 1) if n else 0
-        lower = np.zeros(0, np.uint8)
+        lower = np.zeros(n * low // 64 + 2, np.uint64)
         if low:
-            wide = np.arange(low, dtype=np.uint64)
-            lower = np.concatenate([np.packbits(((x[i : i + cls.CHUNK, None] >> wide) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, cls.CHUNK)])
+            bit = np.arange(n, dtype=np.int64) * low
+            word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+            part = x & np.uint64((1 << low) - 1)
+            first = np.flatnonzero(np.diff(word, prepend=-1))  # of the elements that begin in a word
+            lower[word[first]] = np.add.reduceat(part << shift, first)
+            over = np.flatnonzero(shift > 64 - low)
+            lower[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         at = (x >> np.uint64(low)).astype(np.int64) + np.arange(n)
         unary = np.zeros(((int(at[-1]) + 2 if n else 1) + 63) // 64 * 64, np.uint8)
         unary[at] = 1
         upper = np.packbits(unary, bitorder="little").view(np.uint64)
         ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)))
-        return cls(n, low, np.append(lower, np.zeros(8, np.uint8)), upper, ranks)
+        return cls(n, low, lower.view(np.uint8), upper, ranks)
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low], np.int64), self.lower, self.upper, self.ranks]
@@ -185,23 +196,25 @@ for _b in range(256):
         _SELECT[_b * 8 + _k] = _p
 
 
-class Coded:
-    """Values in [0, 1] as 8-bit codes with a codebook, cells cut by rank and by logarithm."""
+def _codes(p: np.ndarray, step: float, top: int) -> np.ndarray:
+    """Steps of -log10 p; top is zero."""
+    code = np.full(len(p), top, np.int64)
+    some = p > 0
+    code[some] = np.clip(np.round(-np.log10(p[some]) / step), 0, top - 1)
+    return code
 
-    def __init__(self, codes: np.ndarray, book: np.ndarray):
-        self.codes, self.book = codes, book
 
-    @classmethod
-    def build(cls, p: np.ndarray) -> Coded:
-        log = np.log10(np.maximum(p, 1e-30))
-        few = log[:: max(1, len(log) // 100_000)]
-        edges = np.unique(np.append(np.quantile(few, np.linspace(0, 1, 129)[1:-1]), np.linspace(log.min(), log.max(), 128)[1:-1])) if len(log) else np.zeros(0)
-        codes = np.searchsorted(edges, log).astype(np.uint8)
-        sums, n = np.bincount(codes, log, 256), np.bincount(codes, minlength=256)
-        return cls(codes, 10.0 ** (sums / np.maximum(n, 1)))
+def _fine(p: np.ndarray) -> np.ndarray:
+    return _codes(p, FINE, 65535).astype(np.uint16)
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return self.book[self.codes[i]]
+
+def _log_code(p: np.ndarray) -> np.ndarray:
+    return _codes(p, STEP, 255).astype(np.uint8)
+
+
+#: The values of the codes.
+_P = np.append(10.0 ** (-STEP * np.arange(255)), 0.0)
+_FINE = np.append(10.0 ** (-FINE * np.arange(65535)), 0.0)
 
 
 class Trie:
@@ -209,9 +222,12 @@ class Trie:
 
     Words are numbers below 2 ** bits.  Levels: contexts, word pointers, words, before
     pointers, before, pointers, places; codes: of contexts, words, before, places.
+    Contexts from BY_U on are parts of a word: they know (u, v) alone, and hand on p2 whole.
     """
 
-    def __init__(self, levels: list[EliasFano], codes: list[Coded], shape: np.ndarray):
+    KINDS = ("uint8", "int64", "uint16", "uint64")
+
+    def __init__(self, levels: list[EliasFano], codes: list[np.ndarray], shape: np.ndarray):
         self.contexts, self.word_at, self.words, self.before_at, self.before, self.place_at, self.places = self.levels = levels
         self.back, self.share, self.back_pair, self.share_pair = self.codes = codes
         self.shape, self.bits, self.most = shape, int(shape[0]), int(shape[1])
@@ -234,11 +250,12 @@ class Trie:
         before_at = np.concatenate(([0], np.cumsum(np.bincount(of[begin], minlength=len(contexts)))))
         most = int(types.max()) if len(types) else 1
         levels = [contexts, word_at, pair, before_at, (of[begin] << bits) | u[begin], np.append(begin, len(v)), pair_of * most + back - word_at[of]]
-        codes = [DISCOUNT * types / total, (count - DISCOUNT) / total[run], DISCOUNT * pair_types / pair_total, (n - DISCOUNT) / pair_total[pair_of]]
-        return cls([EliasFano.build(x) for x in levels], [Coded.build(x) for x in codes], np.array([bits, most], np.int64))
+        part = contexts >= BY_U
+        values = [np.where(part, 1, DISCOUNT * types / total), np.where(part[run], 0, (count - DISCOUNT) / total[run]), DISCOUNT * pair_types / pair_total, (n - DISCOUNT) / pair_total[pair_of]]
+        return cls([EliasFano.build(x) for x in levels], [_fine(x) for x in values], np.array([bits, most], np.int64))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.shape, *[a for e in self.levels for a in e.arrays()], *[a for c in self.codes for a in (c.codes, c.book)]]
+        return [self.shape, *[a for e in self.levels for a in e.arrays()], *self.codes]
 
     def save(self, path: str) -> None:
         parts = self.arrays()
@@ -246,7 +263,7 @@ class Trie:
             at, table_ = 8 * 3 * len(parts), []
             for a in parts:
                 at = -(-at // 8) * 8
-                table_.append([at, len(a), ("uint8", "int64", "float64", "uint64").index(a.dtype.name)])
+                table_.append([at, len(a), self.KINDS.index(a.dtype.name)])
                 at += a.nbytes
             f.write(np.array(table_, np.int64).tobytes())
             for a, (start, _, _) in zip(parts, table_, strict=True):
@@ -256,11 +273,11 @@ class Trie:
     @classmethod
     def mapped(cls, path: str) -> Trie:
         raw = np.memmap(path, np.uint8, "r")
-        parts, count = [], 1 + 7 * 4 + 4 * 2
+        parts, count = [], 1 + 7 * 4 + 4
         for start, n, kind in raw[: 8 * 3 * count].view(np.int64).reshape(count, 3).tolist():
-            dtype = np.dtype(("uint8", "int64", "float64", "uint64")[kind])
+            dtype = np.dtype(cls.KINDS[kind])
             parts.append(raw[start : start + n * dtype.itemsize].view(dtype).view(np.ndarray))
-        return cls([EliasFano.of(parts[1 + 4 * i : 5 + 4 * i]) for i in range(7)], [Coded(parts[29 + 2 * i], parts[30 + 2 * i]) for i in range(4)], parts[0])
+        return cls([EliasFano.of(parts[1 + 4 * i : 5 + 4 * i]) for i in range(7)], parts[29:], parts[0])
 
     def lookup(self, v: np.ndarray, pair_v: np.ndarray, pair_w: np.ndarray, ctx_v: np.ndarray, ctx_u: np.ndarray, tri_ctx: np.ndarray, tri_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """a of trigrams and b of contexts (u, v), p3 = a + b p1.  Distinct contexts v; pairs (v, w) and
@@ -271,24 +288,24 @@ class Trie:
         for out, level, k in ((word_lo, self.word_at, 0), (word_hi, self.word_at, 1), (before_lo, self.before_at, 0), (before_hi, self.before_at, 1)):
             out[seen] = level[at[seen] + k]
         back = np.ones(len(v))
-        back[seen] = self.back[at[seen]]
+        back[seen] = _FINE[self.back[at[seen]]]
         pair_at = self.words.find((at[pair_v] << self.bits) | pair_w, word_lo[pair_v], word_hi[pair_v])
         share = np.zeros(len(pair_v))
-        share[pair_at >= 0] = self.share[pair_at[pair_at >= 0]]
+        share[pair_at >= 0] = _FINE[self.share[pair_at[pair_at >= 0]]]
         place = np.where(pair_at >= 0, pair_at - word_lo[pair_v], -1)
         ctx_at = self.before.find((at[ctx_v] << self.bits) | ctx_u, before_lo[ctx_v], before_hi[ctx_v])
         known = np.flatnonzero(ctx_at >= 0)
         back_pair, lo, hi = np.ones(len(ctx_v)), np.zeros(len(ctx_v), np.int64), np.zeros(len(ctx_v), np.int64)
-        back_pair[known], lo[known], hi[known] = self.back_pair[ctx_at[known]], self.place_at[ctx_at[known]], self.place_at[ctx_at[known] + 1]
+        back_pair[known], lo[known], hi[known] = _FINE[self.back_pair[ctx_at[known]]], self.place_at[ctx_at[known]], self.place_at[ctx_at[known] + 1]
         ask = np.flatnonzero((ctx_at[tri_ctx] >= 0) & (place[tri_pair] >= 0))
         c, p = tri_ctx[ask], place[tri_pair[ask]]
         found = self.places.find(ctx_at[c] * self.most + p, lo[c], hi[c])
         a = back_pair[tri_ctx] * share[tri_pair]
-        a[ask[found >= 0]] += self.share_pair[found[found >= 0]]
+        a[ask[found >= 0]] += _FINE[self.share_pair[found[found >= 0]]]
         return a, back_pair * back[ctx_v]
 
 
-# --- words, classes and batches -------------------------------------------------
+# --- words, parts and batches ---------------------------------------------------
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -303,7 +320,7 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 
 class Vocabulary:
-    """Frequent words of a bounded sample with short codes, and the classes of hot words and pairs."""
+    """Frequent words of a bounded sample with short codes, and in how many parts hot words and pairs are dealt."""
 
     def __init__(self, words: list[str], classes: np.ndarray, pairs: dict[tuple[int, int], int]):
         self.state = words, classes, pairs  # plain values for a broadcast
@@ -315,33 +332,36 @@ class Vocabulary:
         self.pair_keys = np.array(sorted(u * RARE + v for u, v in pairs), np.int64)
         self.pair_classes = np.array([pairs[divmod(k, RARE)] for k in self.pair_keys.tolist()], np.int64)
 
-    def context(self, x: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The context v after x and u: v itself, or a class of it."""
-        parts = np.where(v < RARE, self.classes[np.minimum(v, ESCAPE)], 1)
-        mark = _mix(u, np.ones(1)) % parts.astype(np.uint64)
+    @staticmethod
+    def context(x: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The context of the model after x, u and v: the word v, in however many parts it is dealt."""
+        return v
+
+    def part(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Where trigrams of hot words v are counted: in a part by u, or of a hot pair (u, v) by w."""
+        out = BY_U | (_mix(u, np.ones(1)) % self.classes[v].astype(np.uint64)).astype(np.int64) << 16 | v
         if len(self.pair_keys):
-            key = np.where((u < RARE) & (v < RARE), u * RARE + v, -1)
+            key = np.where(u < RARE, u * RARE + v, -1)
             at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            hot = self.pair_keys[at] == key
-            mark = np.where(hot, _mix(u, x) % self.pair_classes[at].astype(np.uint64) + (_mix(u, np.full(1, 7)) | _M[0]), mark)
-            parts = np.where(hot, 2, parts)
-        return np.where(parts > 1, RARE + (_mix(v, mark) >> np.uint64(16)).astype(np.int64), v)
-
-    def contexts(self, numbers: np.ndarray, x: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """context() of words given by places in numbers: distinct contexts, and each one's place in them.
-        Only words with classes of their own or in a pair are looked at one by one."""
+            hot = np.flatnonzero(self.pair_keys[at] == key)
+            # pairs of one v begin at different parts, so that they spread
+            place = (_mix(u[hot], np.full(1, 7)) >> np.uint64(34)) + _mix(w[hot], np.ones(1)) % self.pair_classes[at[hot]].astype(np.uint64)
+            out[hot] = BY_W | (place & np.uint64((1 << 30) - 1)).astype(np.int64) << 16 | v[hot]
+        return out
+
+    def contexts(self, numbers: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where trigrams of words given by places in numbers are counted, by v or a part of it: the
+        distinct contexts, and each one's place in them.  Only hot words are looked at one by one."""
         parted = (self.classes[np.minimum(numbers, ESCAPE)] > 1) & (numbers < RARE)
-        parted |= np.isin(numbers, self.pair_keys % RARE)
         some = np.flatnonzero(parted[v])
-        own, rank = np.unique(self.context(numbers[x[some]], numbers[u[some]], numbers[v[some]]), return_inverse=True)
+        own, rank = np.unique(self.part(numbers[u[some]], numbers[v[some]], numbers[w[some]]), return_inverse=True)
         at = v.copy()
         at[some] = len(numbers) + rank
         used = np.zeros(len(numbers) + len(own), bool)
         used[at] = True
         place = np.cumsum(used) - 1
-        # a context of own may be the number of a word (a word in a pair, but without classes): one place for both
-        both = np.append(numbers, own)[used]
-        distinct, first = np.unique(both, return_inverse=True)
+        # a word may be in numbers twice: one place for both
+        distinct, first = np.unique(np.append(numbers, own)[used], return_inverse=True)
         return distinct, first[place[at]]
 
 
@@ -376,6 +396,9 @@ def vocabulary(rows: DataFrame, shards: int) -> Vocabulary:
         if u is not None and v is not None and parts(r["n"]) > 1:
             pairs[u, v] = parts(r["n"])
     classes = np.array([parts(starts * total), 1, *[parts(r["n"]) for r in top]], np.int64)
+    if classes[START] > 1:  # the first words of texts
+        pairs[START, START] = int(classes[START])
+    pairs = {(u, v): n for (u, v), n in pairs.items() if classes[v] > 1}
     return Vocabulary([bytes(r["v"]).decode() for r in top], classes, pairs)
 
 
@@ -439,12 +462,12 @@ class Batch:
             words += w
             size[k] = len(w)
             at += n
-        known = np.array(list(map(voc.ids.get, words, [-1] * len(words))), np.int64)
-        rare = np.flatnonzero(known < 0)
-        places: dict[bytes, int] = {}
-        rare_place = np.fromiter((places.setdefault(words[i], len(places)) for i in rare.tolist()), np.int64, len(rare))
+        # a word's place: frequent ones by id, then rare ones by first occurrence
+        places = defaultdict(count(RARE).__next__, voc.ids)
+        known = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
         del words
-        rare_words = list(places)
+        rare = np.flatnonzero(known >= RARE)
+        rare_words = list(islice(places, len(voc.ids), None))
         rare_hash = _hashed(rare_words)
         # each text: START three times, its words, END if it is the last piece
         lead, last, first = self.docs[:, 4], self.docs[:, 3], (self.docs[:, 4] == 0).astype(np.int64) * 3
@@ -453,10 +476,8 @@ class Batch:
         ids, place = np.full(int(length.sum()), START), np.full(int(length.sum()), -1)
         to = np.arange(len(known)) + np.repeat(begin + first - (np.cumsum(size) - size), size)
         number = known.copy()
-        number[rare] = RARE + (rare_hash[rare_place] >> np.uint64(16)).astype(np.int64)
+        number[rare] = RARE + (rare_hash[known[rare] - RARE] >> np.uint64(16)).astype(np.int64)
         ids[to] = number
-        # a word's place: frequent ones by id, then rare ones by first occurrence
-        known[rare] = RARE + rare_place
         place[to] = known
         ends = (begin + length - 1)[last == 1]
         ids[ends] = place[ends] = END
@@ -466,7 +487,7 @@ class Batch:
         i = np.flatnonzero(token)
         self.doc, word = doc[i], place[i]
         far = begin[self.doc]
-        before = [np.where(i - k >= far, i - k, -1) for k in (1, 2, 3)]
+        before = [np.where(i - k >= far, i - k, -1) for k in (1, 2)]
         train = np.array([zlib.crc32(b"" if d == NONE else str(d).encode()) % folds != held for d in self.docs[:, 0].tolist()], bool)
         weight = train[self.doc].astype(np.int64)
         # words
@@ -493,8 +514,8 @@ class Batch:
             more, rank = np.unique(ids[lone], return_inverse=True)
             at[lone] = len(numbers) + rank
             numbers = np.append(numbers, more)
-        v, u, x = (at[k] for k in before)  # -1: START
-        contexts, v = voc.contexts(numbers, x, u, v)
+        v, u = (at[k] for k in before)  # -1: START
+        contexts, v = voc.contexts(numbers, u, v, self.word)
         shard = _shard(_mix(contexts, np.full(1, 3)), shards)
         by = np.lexsort((contexts, shard))
         rank = np.zeros(len(by), np.int64)
@@ -504,7 +525,8 @@ class Batch:
         key, self.tri = np.unique(key, return_inverse=True)
         self.count = np.bincount(self.tri, weight, len(key)).astype(np.int64)
         mask = (1 << bits) - 1
-        self.w, pair = numbers[key & mask], key >> bits
+        w, pair = key & mask, key >> bits
+        self.w = numbers[w]
         new = np.ones(len(key), bool)
         new[1:] = pair[1:] != pair[:-1]
         self.pair_begin = np.flatnonzero(new)
@@ -514,27 +536,88 @@ class Batch:
         new = np.ones(len(ctx), bool)
         new[1:] = ctx[1:] != ctx[:-1]
         self.ctx_begin = np.flatnonzero(new)
+        ctx_of = np.cumsum(new) - 1
         ctx = by[ctx[self.ctx_begin]]
         self.v, shard = contexts[ctx], shard[ctx]
         self.shards, cut = np.unique(shard, return_index=True)
         self.cut = np.append(cut, len(shard))
+        # bigrams of hot words, each word's dealt by the second word
+        self.kind = (self.v >> 50)[ctx_of]  # of pairs; 1 in BY_U, 2 in BY_W
+        self.hot = np.flatnonzero(self.kind[self.pair_of])
+        hot_v = (self.v & ESCAPE)[ctx_of]
+        key, bigram = np.unique(hot_v[self.pair_of[self.hot]] << bits | w[self.hot], return_inverse=True)
+        big_v, big_w = key >> bits, numbers[key & mask]
+        shard = _shard(_mix(big_v, _mix(big_w, np.full(1, 5)) % voc.classes[big_v].astype(np.uint64)), shards)
+        by = np.argsort(shard, kind="stable")
+        rank = np.zeros(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.bigram, self.big_v, self.big_w = rank[bigram], big_v[by], big_w[by]
+        self.big_count = np.bincount(bigram, self.count[self.hot], len(key)).astype(np.int64)[by]
+        self.big_shards, cut = np.unique(shard[by], return_index=True)
+        self.big_cut = np.append(cut, len(by))
+        self.hot_pair = self.u * RARE + hot_v  # of pairs in BY_W
 
     def messages(self, batch: int):
         """(shard, kind, batch, blob)."""
         press = zstandard.ZstdCompressor(level=1)
         for s, a, z in zip(self.word_shards.tolist(), self.word_cut, self.word_cut[1:], strict=False):
             mine = self.word_order[a:z]
-            yield s, 0, batch, press.compress(_planes(self.word_count[mine].astype(np.uint32), np.frombuffer(b"\n".join([self.words[i] for i in mine.tolist()]), np.uint8)))
+            yield s, 0, batch, press.compress(_planes(*_small(self.word_count[mine]), np.frombuffer(b"\n".join([self.words[i] for i in mine.tolist()]), np.uint8)))
         ctx, pair = np.append(self.ctx_begin, len(self.u)), np.append(self.pair_begin, len(self.w))
         for s, a, z in zip(self.shards.tolist(), self.cut, self.cut[1:], strict=False):
             c0, c1 = ctx[a], ctx[z]
             e0, e1 = pair[c0], pair[c1]
-            planes = [self.v[a:z], np.diff(ctx[a : z + 1]).astype(np.uint32), np.diff(pair[c0 : c1 + 1]).astype(np.uint32), self.count[e0:e1].astype(np.uint32)]
-            for ids in (self.u[c0:c1], self.w[e0:e1]):
-                far = ids >= ESCAPE
-                short = np.where(far, ESCAPE, ids).astype(np.uint16)
-                planes += [(short & 255).astype(np.uint8), (short >> 8).astype(np.uint8), np.ascontiguousarray((ids[far] - RARE).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()]
+            planes = [self.v[a:z], *_small(np.diff(ctx[a : z + 1])), *_small(np.diff(pair[c0 : c1 + 1])), *_small(self.count[e0:e1])]
+            planes += [*_short(self.u[c0:c1]), *_short(self.w[e0:e1])]
             yield s, 1, batch, press.compress(_planes(*planes))
+        for s, a, z in zip(self.big_shards.tolist(), self.big_cut, self.big_cut[1:], strict=False):
+            v, first = np.unique(self.big_v[a:z], return_index=True)
+            yield s, 3, batch, press.compress(_planes(v.astype(np.uint16), np.diff(np.append(first, z - a)).astype(np.uint32), *_small(self.big_count[a:z]), *_short(self.big_w[a:z])))
+
+    def probabilities(self, p1: np.ndarray, coded: list[list[np.ndarray]], bigrams: np.ndarray, words: Totals, pairs: Totals) -> np.ndarray:
+        """p3 of each token from p1, the shards' answers in their order and the totals of hot words and pairs."""
+        if not coded:
+            return p1
+        a, back, own, own_back, counts = (np.concatenate([g[k] for g in coded]) for k in range(5))
+        tri_kind = self.kind[self.pair_of]
+        share3, rest, rest3 = np.zeros(len(self.hot)), np.ones(len(self.kind)), np.ones(len(self.kind))
+        value, value_back = np.zeros(len(tri_kind)), np.zeros(len(self.kind))
+        value[tri_kind == 0], value_back[self.kind == 0] = _P[a], _P[back]
+        if len(self.hot):
+            # the word before
+            total, types = words.of(self.big_v)
+            share = _FINE[_fine(np.where(bigrams > 0, bigrams - DISCOUNT, 0) / np.maximum(total, 1))][self.bigram]
+            some = np.flatnonzero(self.kind)
+            total, types = words.of(self.hot_pair[some] % RARE)
+            rest[some] = np.where(total > 0, _FINE[_fine(DISCOUNT * types / np.maximum(total, 1))], 1)
+            # the two words before
+            of = self.pair_of[self.hot]
+            kind = self.kind[of]
+            share3[kind == 1], rest3[self.kind == 1] = _FINE[own], _FINE[own_back]
+            some = np.flatnonzero(self.kind == 2)
+            total, types = (np.zeros(len(self.kind), np.int64) for _ in range(2))
+            total[some], types[some] = pairs.of(self.hot_pair[some])
+            rest3[some] = np.where(total[some] > 0, _FINE[_fine(DISCOUNT * types[some] / np.maximum(total[some], 1))], 1)
+            share3[kind == 2] = _FINE[_fine(np.where(counts > 0, counts - DISCOUNT, 0) / np.maximum(total[of[kind == 2]], 1))]
+            value[self.hot] = _P[_log_code(rest3[of] * share + share3)]
+            some = np.flatnonzero(self.kind)
+            value_back[some] = _P[_log_code(rest3[some] * rest[some])]
+        return value[self.tri] + value_back[self.pair_of[self.tri]] * p1
+
+
+class Totals:
+    """Occurrences and distinct successors of hot words or pairs, by number."""
+
+    def __init__(self, keys: np.ndarray, total: np.ndarray, types: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.total, self.types = keys[by], total[by], types[by]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.where(hit, self.total[at], 0), np.where(hit, self.types[at], 0)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -555,6 +638,33 @@ def _opened(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def _short(ids: np.ndarray) -> list[np.ndarray]:
+    """Numbers of words as planes: two of the short ones, one of the others' hashes."""
+    far = ids >= ESCAPE
+    short = np.where(far, ESCAPE, ids).astype(np.uint16)
+    return [(short & 255).astype(np.uint8), (short >> 8).astype(np.uint8), np.ascontiguousarray((ids[far] - RARE).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()]
+
+
+def _small(n: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes, and those from 255 on."""
+    return [np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype(np.uint32)]
+
+
+def _counts(n: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = n.astype(np.int64)
+    out[n == 255] = more
+    return out
+
+
+def _bytes(n: np.ndarray, width: int = 8) -> np.ndarray:
+    """Numbers as planes of their bytes, one after the other."""
+    return np.ascontiguousarray(n.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).ravel()
+
+
+def _numbers(planes: np.ndarray, width: int = 8) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
 def _ids(low: np.ndarray, high: np.ndarray, far: np.ndarray) -> np.ndarray:
     out = low.astype(np.int64) | high.astype(np.int64) << 8
     wide = np.zeros((len(far) // 6, 8), np.uint8)
@@ -563,17 +673,6 @@ def _ids(low: np.ndarray, high: np.ndarray, far: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_code(p: np.ndarray) -> np.ndarray:
-    """Steps of STEP of -log10 p; 255 is zero."""
-    code = np.full(len(p), 255, np.uint8)
-    some = p > 0
-    code[some] = np.clip(np.round(-np.log10(p[some]) / STEP), 0, 254)
-    return code
-
-
-_P = np.append(10.0 ** (-STEP * np.arange(255)), 0.0)
-
-
 def _by_shard(batches, columns: list[str]):
     """(shard, rows) of a partition sorted by shard, one shard at a time."""
     held: list = []
@@ -592,20 +691,45 @@ def count_words(blobs: list[bytes]) -> tuple[list[np.ndarray], int, int]:
     places: dict[bytes, int] = {}
     counts, parts = [], []
     for blob in blobs:
-        n, raw = _opened(blob, np.uint32, np.uint8)
+        *n, raw = _opened(blob, np.uint8, np.uint32, np.uint8)
         words = raw.tobytes().split(b"\n")
         parts.append(np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words)))
-        counts.append(n)
+        counts.append(_counts(*n))
     total = np.bincount(np.concatenate(parts), np.concatenate(counts), len(places)).astype(np.int64)
     return [total[p] for p in parts], int(total.sum()), int((total > 0).sum())
 
 
-def answer_trigrams(blobs: list[bytes]) -> list[bytes]:
-    """Builds the trie of the messages' trigrams and answers each message from it."""
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sum of n and the number of those above zero."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, n, len(distinct)).astype(np.int64), np.bincount(at, n > 0, len(distinct)).astype(np.int64)
+
+
+def count_bigrams(blobs: list[bytes]) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each message's bigrams' counts over all messages; of each first word, its occurrences and successors here."""
+    vs, per, ws, counts = [], [], [], []
+    for blob in blobs:
+        v, per_v, n, more, *planes = _opened(blob, np.uint16, np.uint32, np.uint8, np.uint32, *[np.uint8] * 3)
+        vs.append(v)
+        per.append(per_v)
+        ws.append(_ids(*planes))
+        counts.append(_counts(n, more))
+    v, vi = np.unique(np.concatenate(vs), return_inverse=True)  # numbers of words have 49 bits
+    key, at = np.unique(np.repeat(vi.astype(np.uint64), np.concatenate(per)) << np.uint64(49) | np.concatenate(ws).astype(np.uint64), return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    cut = np.cumsum([len(n) for n in counts])[:-1]
+    return [zstandard.compress(_bytes(n).tobytes(), 1) for n in np.split(total[at], cut)], _sums(v.astype(np.int64)[(key >> np.uint64(49)).astype(np.int64)], total)
+
+
+def answer_trigrams(blobs: list[bytes]) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Builds the trie of the messages' trigrams and answers each message from it: of whole contexts a and b
+    of trigrams and pairs, of parts by u the codes of (u, v), of parts by w counts.  Of each hot pair, its
+    occurrences and successors here."""
     shape, vs, us, ws, ns = [], [], [], [], []
     for blob in blobs:
-        v, per_v, per_u, n, *planes = _opened(blob, np.int64, np.uint32, np.uint32, np.uint32, *[np.uint8] * 6)
-        u, w = _ids(*planes[:3]), _ids(*planes[3:])
+        v, *planes = _opened(blob, np.int64, *[np.uint8, np.uint32] * 3, *[np.uint8] * 6)
+        per_v, per_u, n = (_counts(*planes[k : k + 2]) for k in (0, 2, 4))
+        u, w = _ids(*planes[6:9]), _ids(*planes[9:])
         shape.append((len(u), len(w)))
         vs.append(np.repeat(v, per_v))
         us.append(u)
@@ -639,17 +763,23 @@ def answer_trigrams(blobs: list[bytes]) -> list[bytes]:
             trie = Trie.mapped(path)
         finally:
             os.unlink(path)
-        del c, some, n
+        del c, some
         pair, tri_pair = np.unique((ctx_v[tri_ctx] << bits) | tri_w, return_inverse=True)
         a, b = trie.lookup(v, pair >> bits, pair & mask, ctx_v, ctx_u, tri_ctx, tri_pair)
     else:
         a, b = np.zeros(len(tri_ctx)), np.ones(len(ctx_v))
-    a, b = _log_code(a), _log_code(b)
+    kind = (v >> 50)[ctx_v]
+    tri_kind = kind[tri_ctx]
+    whole, of = kind == 0, tri_kind == 0
+    a, b = np.where(of, _log_code(a), _fine(a)), np.where(whole, _log_code(b), _fine(b))
     press, out, at_c, at_t = zstandard.ZstdCompressor(level=1), [], 0, 0
     for contexts, trigrams in shape:
-        out.append(press.compress(_planes(a[back[at_t : at_t + trigrams]], b[ci[at_c : at_c + contexts]])))
+        t, c = back[at_t : at_t + trigrams], ci[at_c : at_c + contexts]
+        k, kc = tri_kind[t], kind[c]
+        out.append(press.compress(_planes(a[t[k == 0]].astype(np.uint8), b[c[kc == 0]].astype(np.uint8), _bytes(a[t[k == 1]], 2), _bytes(b[c[kc == 1]], 2), _bytes(n[t[k == 2]]))))
         at_c, at_t = at_c + contexts, at_t + trigrams
-    return out
+    by_w = np.flatnonzero(tri_kind == 2)
+    return out, _sums(ctx_u[tri_ctx[by_w]] * RARE + (v[ctx_v[tri_ctx[by_w]]] & ESCAPE), n[by_w])
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id", voc: Vocabulary | None = None) -> DataFrame:
@@ -669,36 +799,52 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text"
                 release()
 
     def answer(batches):
+        def answers(sent, kind, blobs):
+            return pd.DataFrame({"batch": [r[2] for r in sent], "shard": sent[0][0], "kind": kind, "blob": blobs, "total": 0, "kinds": 0})
+
+        def totals(shard, kind, keys, total, kinds):
+            return pd.DataFrame({"batch": keys, "shard": shard, "kind": kind, "blob": b"", "total": total, "kinds": kinds})
+
         for shard, sent in _by_shard(batches, ["shard", "kind", "batch", "blob"]):
-            words, trigrams = [r for r in sent if r[1] == 0], [r for r in sent if r[1] == 1]
+            words, trigrams, bigrams = ([r for r in sent if r[1] == kind] for kind in (0, 1, 3))
             sent.clear()
             total = kinds = 0
             if words:
                 counts, total, kinds = count_words([r[3] for r in words])
-                yield pd.DataFrame({"batch": [r[2] for r in words], "shard": shard, "kind": 0, "blob": [zstandard.compress(c.astype(np.uint64).tobytes(), 1) for c in counts], "total": 0, "kinds": 0})
+                yield answers(words, 0, [zstandard.compress(_bytes(c).tobytes(), 1) for c in counts])
                 del counts
-            yield pd.DataFrame({"batch": [-1], "shard": [shard], "kind": [2], "blob": [b""], "total": [total], "kinds": [kinds]})
-            if trigrams:
-                yield pd.DataFrame({"batch": [r[2] for r in trigrams], "shard": shard, "kind": 1, "blob": answer_trigrams([r[3] for r in trigrams]), "total": 0, "kinds": 0})
+            yield totals(shard, 2, [-1], total, kinds)
+            for sent, kind, work in ((trigrams, 1, answer_trigrams), (bigrams, 3, count_bigrams)):  # noqa: B020
+                if sent:
+                    blobs, sums = work([r[3] for r in sent])
+                    yield answers(sent, kind, blobs)
+                    if len(sums[0]):
+                        yield totals(shard, kind + 3, *sums)
             release()
 
     dealt = packs.mapInPandas(ask, "shard int, kind int, batch long, blob binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     told = stored(dealt.mapInPandas(answer, "batch long, shard int, kind int, blob binary, total long, kinds long"), PACK_ROWS, compression="none")
+    def summed(kind: int) -> tuple[np.ndarray, ...]:  # a row for each hot word or pair of the sample
+        got = told.where(F.col("kind") == kind).groupBy("batch").agg(F.sum("total").alias("n"), F.sum("kinds").alias("k")).toPandas()
+        return tuple(got[c].to_numpy(np.int64) for c in ("batch", "n", "k"))
+
+    hot = spark.sparkContext.broadcast((summed(6), summed(4)))
     sums = told.where("kind = 2").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
     total, whole = int(sums["n"]), float(sums["n"] + sums["v"] + 1)
 
     def finish(batches):
         voc = Vocabulary(*shared.value)
+        hot_words, hot_pairs = (Totals(*t) for t in hot.value)
         for b in batches:
             for d, body, answers in zip(b["docs"], b["body"], b["answers"], strict=True):
                 pack = Batch(d, body, voc, shards, folds, held)
                 n, texts = np.zeros(len(pack.words), np.int64), len(pack.docs)
                 answers = sorted(answers if answers is not None else [], key=lambda r: (r["kind"], r["shard"]))
-                n[pack.word_order] = np.concatenate([np.frombuffer(zstandard.decompress(r["blob"]), np.uint64) for r in answers if r["kind"] == 0] or [n]).astype(np.int64)
-                got = [_opened(r["blob"], np.uint8, np.uint8) for r in answers if r["kind"] == 1]
-                a, back = (_P[np.concatenate([g[k] for g in got] or [np.zeros(0, np.uint8)])] for k in (0, 1))
+                n[pack.word_order] = np.concatenate([_numbers(np.frombuffer(zstandard.decompress(r["blob"]), np.uint8)) for r in answers if r["kind"] == 0] or [n])
+                coded = [[x if k < 2 else _numbers(x, (2, 2, 8)[k - 2]) for k, x in enumerate(_opened(r["blob"], *[np.uint8] * 5))] for r in answers if r["kind"] == 1]
+                bigrams = [_numbers(np.frombuffer(zstandard.decompress(r["blob"]), np.uint8)) for r in answers if r["kind"] == 3]
                 p1 = ((n + 1) / whole)[pack.word]
-                p = (a[pack.tri] + back[pack.pair_of[pack.tri]] * p1) if len(got) else p1
+                p = pack.probabilities(p1, coded, np.concatenate(bigrams or [np.zeros(0, np.int64)]), hot_words, hot_pairs)
                 add = lambda x: np.bincount(pack.doc, x, texts)
                 yield pd.DataFrame({
                     "doc_id": pack.docs[:, 0], "first": pack.docs[:, 1], "at": pack.docs[:, 2], "whole": pack.docs[:, 6] == 1, "n_tokens": add(None).astype(np.int64),
@@ -706,7 +852,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text"
                 })
                 release()
 
-    answers = told.where("kind < 2").groupBy("batch").agg(F.collect_list(F.struct("kind", "shard", "blob")).alias("answers"))
+    answers = told.where("kind IN (0, 1, 3)").groupBy("batch").agg(F.collect_list(F.struct("kind", "shard", "blob")).alias("answers"))
     full = packs.join(answers.hint("merge"), "batch", "left").select("docs", "body", "answers")
     numbers = ("n_tokens", "n_known", "base_score", "score")
     scored = stored(full.mapInPandas(finish, "doc_id long, first long, at long, whole boolean, n_tokens long, n_known long, base_score double, score double"), PACK_ROWS)

@@ -374,6 +374,16 @@ def test_op5(spark, docs, case, monkeypatch):
         assert sum(g[6] for g in h) > sum(g[5] for g in h)
 
 
+def test_op5_scores_do_not_follow_from_the_number_of_shards(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    few = rows(lm_score.lm_scores(df), "doc_id", "score")
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 20_000)  # as at a larger size: many hot words and pairs
+    assert lm_score.vocabulary(common.id_text(df), 100).classes.max() > 10
+    many = rows(lm_score.lm_scores(df), "doc_id", "score")
+    assert len(few) == len(many) == df.count()
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(few, many, strict=True))
+
+
 def test_op5_rows_of_one_id(spark):
     docs_ = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d e"), (7, "a b c"), (7, "x")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_tokens"]) for r in lm_score.lm_scores(docs_).collect()), key=repr)
