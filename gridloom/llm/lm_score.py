@@ -64,6 +64,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import TEXT_ROWS, byte_words, id_text, release, sampled, stored, table
+from gridloom.sources.storage import drop_shuffles
 
 DISCOUNT = 0.75
 BATCH = 3_000_000
@@ -824,6 +825,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text"
 
     dealt = packs.mapInPandas(ask, "shard int, kind int, batch long, blob binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     told = stored(dealt.mapInPandas(answer, "batch long, shard int, kind int, blob binary, total long, kinds long"), PACK_ROWS, compression="none")
+    drop_shuffles(spark)
     def summed(kind: int) -> tuple[np.ndarray, ...]:  # a row for each hot word or pair of the sample
         got = told.where(F.col("kind") == kind).groupBy("batch").agg(F.sum("total").alias("n"), F.sum("kinds").alias("k")).toPandas()
         return tuple(got[c].to_numpy(np.int64) for c in ("batch", "n", "k"))

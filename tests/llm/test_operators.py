@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -384,6 +385,21 @@ def test_op5_scores_do_not_follow_from_the_number_of_shards(spark, monkeypatch):
     assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(few, many, strict=True))
 
 
+def test_files_of_shuffles_go_when_asked(spark):
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    ids = lambda: set(re.findall(r"\d+(?= ->)", tracker.shuffleStatuses().keySet().mkString("", " -> ", " -> ")))
+    before = ids()
+    common.stored(spark.range(1000).repartition(5))
+    mine = ids() - before
+    assert mine
+    lm_score.drop_shuffles(spark)
+    for _ in range(100):
+        if not ids() & mine:
+            return
+        time.sleep(0.2)
+    raise AssertionError("shuffle files stay")
+
+
 def test_op5_rows_of_one_id(spark):
     docs_ = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d e"), (7, "a b c"), (7, "x")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_tokens"]) for r in lm_score.lm_scores(docs_).collect()), key=repr)
