@@ -1,4 +1,5 @@
-"""SimHash near-dedup by the generalised pigeonhole principle; similar_groups: near copies by an exact join of shingle sets.
+"""SimHash near-dedup by the generalised pigeonhole principle; similar_groups: near copies by SimHash links,
+verified, and an exact join of shingle sets for those that SimHash does not link.
 
 Fingerprints: 64-bit SimHash of the word shingles, a bit is 1 if it is set in
 over half the shingles' XXH64.  Two fingerprints link at up to TAU differing
@@ -47,23 +48,33 @@ SLOTS = 1 << 20  # of a filter of ids, in bits
 _SLICE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """SimHash of a text as an unsigned 64-bit number."""
+def _shingle_hashes(text: str | None, shingle: int):
+    """XXH64 of a text's shingles, repeats included, in slices."""
     words = byte_words(text)
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
+    joined, h = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    counts, h = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for i in range(0, n, _SLICE):
-        x = np.array([h(joined[a:b], SEED) for a, b in zip(starts[i : i + _SLICE], ends[i : i + _SLICE], strict=True)], dtype=">u8")
-        counts += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([h(joined[a:b], SEED) for a, b in zip(starts[i : i + _SLICE], ends[i : i + _SLICE], strict=True)], np.uint64)
+
+
+def _simhash(slices) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for x in slices:
+        counts += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(x)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """SimHash of a text as an unsigned 64-bit number."""
+    return _simhash(_shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
@@ -264,16 +275,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, tau: int = TAU, text: str
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _distinct(slices: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(slices)) if slices else np.zeros(0, np.uint64)
+
+
 def _shingle_set(text: str, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    words = byte_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    n, joined, h = max(1, len(words) - shingle + 1), b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    return np.unique(np.fromiter((h(joined[a:b]) for a, b in zip(starts, ends, strict=True)), np.uint64, n))
+    return _distinct(list(_shingle_hashes(text, shingle)))
 
 
 def _set_key(shingles: np.ndarray) -> int:
@@ -409,10 +417,26 @@ def _slots(ids: DataFrame, name: str) -> np.ndarray:
     return np.packbits(bits)
 
 
+def simhash_pairs(told: DataFrame, tau: int = TAU) -> DataFrame:
+    """u, v: sets (key) that fingerprints (fp) of theirs link, each with the first of its own or of a linked fingerprint."""
+    first = stored(told.groupBy("fp").agg(F.min("key").alias("first")))
+    own = told.join(first, "fp").select(F.col("first").alias("u"), F.col("key").alias("v"))
+    at = lambda c, name: first.select(F.col("fp").alias(c), F.col("first").alias(name))
+    near = links(first.select("fp"), tau).join(at("u", "a"), "u").join(at("v", "b"), "v").select("a", "b")
+    pairs = own.union(near).where("u <> v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, component_id: groups of documents whose shingles' Jaccard similarity is similarity or more.
 
-    An exact join of sets by prefixes.  All shingles are put in one order, rare ones
+    First by SimHash: the documents' fingerprints are linked at up to TAU bits by the
+    generalised pigeonhole principle, and linked documents whose sets have the similarity
+    are joined.  A fingerprint's documents are compared with its first one, and the first
+    ones of linked fingerprints with each other.
+
+    SimHash is no bound on the similarity, so what it leaves apart is then found by an
+    exact join of sets by prefixes.  All shingles are put in one order, rare ones
     first; two sets of the similarity share one of their first n - ceil(similarity n) + 1
     shingles, so every such pair meets in a bucket of one of these.  The order
     (a bounded sample tells the frequent shingles) steers cost only.  Equal sets are one
@@ -421,10 +445,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     Of a bucket of up to FEW sets every pair whose sizes and positions allow the
     similarity is a candidate, of a larger one every set with its first.  Buckets of
     frequent shingles are counted before they are dealt out, so a hot one never meets in
-    one task.  Candidates are tested by parities, some bits for each shingle of the
+    one task.  Candidates of both kinds are tested by parities, some bits for each shingle of the
     set, which rule out nearly all that are not alike and none that are; the rest is
-    verified on the full sets, first one pair for each set, then those that this has not
-    joined.  Large buckets that are then still in several components are compared in
+    verified on the full sets, SimHash's first, then one pair for each set, then those that
+    this has not joined.  Large buckets that are then still in several components are compared in
     blocks of BLOCK_SETS: parities tell the sets that may have a partner of another
     component in the block, and only these are compared in full; a spanning forest of the
     verified pairs is kept.  Only documents that pass a test by parities are moved.
@@ -436,9 +460,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
 
     def prefixes(batches):
         for b in batches:
-            sets = [_shingle_set(t, shingle) for t in b["text"]]
+            hashes = [list(_shingle_hashes(t, shingle)) for t in b["text"]]
+            fp = np.array([_simhash(x) for x in hashes], np.uint64).view(np.int64)
+            sets = [_distinct(x) for x in hashes]
             key = np.array([_set_key(x) for x in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "n": [len(x) for x in sets], "prefix": [prefix(x, similarity, frequent, often).tobytes() for x in sets], "bits": [parity(x).tobytes() for x in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "key": key, "n": [len(x) for x in sets], "prefix": [prefix(x, similarity, frequent, often).tobytes() for x in sets], "bits": [parity(x).tobytes() for x in sets]})
 
     def signatures(batches):
         for b in batches:
@@ -530,9 +556,21 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
         of = lambda c, name: has.select(F.col("key").alias(c), F.col("shingles").alias(name))
         return stored(pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").mapInPandas(verify, "u long, v long"), TEXT_ROWS)
 
+    def tested(pairs: DataFrame) -> DataFrame:
+        of = lambda c, n, name: vertices.select(F.col("key").alias(c), F.col("n").alias(n), F.col("bits").alias(name))
+        return stored(pairs.join(of("u", "nx", "x"), "u").join(of("v", "ny", "y"), "v").mapInPandas(prune, "u long, v long"), SET_ROWS)
+
+    def apart_by(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs that are not joined yet."""
+        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        return pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
     k = partitions(spark)
-    told = mapped(rows, prefixes, "doc_id long, key long, n long, prefix binary, bits binary")
+    told = mapped(rows, prefixes, "doc_id long, fp long, key long, n long, prefix binary, bits binary")
     vertices = stored(told.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    linked = tested(simhash_pairs(told.select("fp", "key").distinct()))
+    edges = verified(linked)
+    roots = components(edges)
     sigs = vertices.select("key", "n", "prefix").mapInPandas(signatures, "bucket long, key long, n int, pos int, hot boolean")
     hot = stored(sigs.where("hot").drop("hot"), SET_ROWS)
     large = stored(hot.groupBy("bucket").agg(F.count("*").alias("sets")).where(F.col("sets") > FEW))  # FREQUENT rows at most
@@ -542,16 +580,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     big = stored(big)
     star = big.join(big.groupBy("bucket").agg(F.min("key").alias("u")), "bucket").where("u <> key").select("u", F.col("key").alias("v"))
     pairs = probed.where("u <> v").select("u", "v").union(star).distinct()
-    of = lambda c, n, name: vertices.select(F.col("key").alias(c), F.col("n").alias(n), F.col("bits").alias(name))
-    pairs = stored(pairs.join(of("u", "nx", "x"), "u").join(of("v", "ny", "y"), "v").mapInPandas(prune, "u long, v long"), SET_ROWS)
-    edges = verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    roots = components(edges)
-    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    left = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    more = verified(stored(left))
-    if not more.isEmpty():
-        edges = stored(edges.union(more))
-        roots = components(edges)
+    pairs = tested(apart_by(pairs, roots).join(linked, ["u", "v"], "left_anti"))
+    for some in (lambda p: p.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), lambda p: p):
+        more = verified(stored(some(apart_by(pairs, roots))))
+        if not more.isEmpty():
+            edges = stored(edges.union(more))
+            roots = components(edges)
     if not big.isEmpty():
         joined = stored(big.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "sets", "key", F.coalesce("root", "key").alias("root")))
         several = joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")

@@ -206,3 +206,27 @@ def test_texts_of_the_same_words_equal_brute_force(spark):
         texts += [t, t + t[:4], t + t[:7]]
     got, want = _groups(spark, texts)
     assert got == want and len(set(want.values())) == 7
+
+
+def test_near_stage_links_by_simhash_first(spark, monkeypatch):
+    """Fingerprints are those of op10 and are linked by its pigeonhole plan; pairs come from both ways."""
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(30)]
+    texts += [t + " more" for t in texts]
+    seen = []
+    real = simhash.links
+
+    def links(fps, tau=simhash.TAU):
+        edges = real(fps, tau)
+        seen.append(({x["fp"] % (1 << 64) for x in fps.collect()}, edges.count()))
+        return edges
+
+    monkeypatch.setattr(simhash, "links", links)
+    got = kept(spark, corpus_pipeline.drop_near_copies, list(enumerate(texts)))
+    assert sorted(i for i, _ in got) == list(range(30))
+    assert len(seen) == 1 and seen[0][0] == {simhash.fingerprint(t, 5) for t in texts} and seen[0][1] > 10
+    # without the exact join, what SimHash links is joined all the same
+    monkeypatch.setattr(simhash, "prefix", lambda shingles, *a: shingles[:0])
+    alone = kept(spark, corpus_pipeline.drop_near_copies, list(enumerate(texts)))
+    assert len(alone) < 50
