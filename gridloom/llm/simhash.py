@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import TEXT_ROWS, byte_words, id_text, mapped, partitions, sampled, stored, table
-from gridloom.llm.components import components
+from gridloom.llm.components import components, joined
+from gridloom.sources.storage import drop_shuffles
 
 TAU = 4
 SEED = 42
@@ -569,8 +570,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     told = mapped(rows, prefixes, "doc_id long, fp long, key long, n long, prefix binary, bits binary")
     vertices = stored(told.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     linked = tested(simhash_pairs(told.select("fp", "key").distinct()))
-    edges = verified(linked)
-    roots = components(edges)
+    roots = components(verified(linked))
+    drop_shuffles(spark)  # and the plans so far, which the driver would keep beside those to come
     sigs = vertices.select("key", "n", "prefix").mapInPandas(signatures, "bucket long, key long, n int, pos int, hot boolean")
     hot = stored(sigs.where("hot").drop("hot"), SET_ROWS)
     large = stored(hot.groupBy("bucket").agg(F.count("*").alias("sets")).where(F.col("sets") > FEW))  # FREQUENT rows at most
@@ -584,22 +585,21 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     for some in (lambda p: p.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), lambda p: p):
         more = verified(stored(some(apart_by(pairs, roots))))
         if not more.isEmpty():
-            edges = stored(edges.union(more))
-            roots = components(edges)
+            roots = joined(roots, more)
     if not big.isEmpty():
-        joined = stored(big.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "sets", "key", F.coalesce("root", "key").alias("root")))
-        several = joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        rooted = stored(big.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "sets", "key", F.coalesce("root", "key").alias("root")))
+        several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         blocks = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
         mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
         block = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(mine, j).cast("long") * (1 << 31) + F.greatest(mine, j)))
-        dealt = joined.join(several, "bucket").select("bucket", block.alias("block"), "key", "root").join(vertices.select("key", "n", "bits"), "key")
+        dealt = rooted.join(several, "bucket").select("bucket", block.alias("block"), "key", "root").join(vertices.select("key", "n", "bits"), "key")
         maybe = stored(dealt.repartition(k, "bucket", "block").sortWithinPartitions("bucket", "block", "key").mapInPandas(active, "bucket long, block long, key long, root long"), SET_ROWS)
         if not maybe.isEmpty():
             dealt = maybe.join(sets_of(maybe.select("key")), "key")
             more = dealt.repartition(k, "bucket", "block").sortWithinPartitions("bucket", "block", "key").mapInPandas(compare, "u long, v long")
             more = stored(more.distinct(), TEXT_ROWS)
             if not more.isEmpty():
-                roots = components(edges.union(more))
+                roots = joined(roots, more)
     rooted = stored(vertices.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = told.select("doc_id", "key").join(rooted.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")

@@ -230,3 +230,61 @@ def test_near_stage_links_by_simhash_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "prefix", lambda shingles, *a: shingles[:0])
     alone = kept(spark, corpus_pipeline.drop_near_copies, list(enumerate(texts)))
     assert len(alone) < 50
+
+
+def test_few_edges_are_solved_without_rounds(spark, monkeypatch):
+    """Rounds of stars are tasks for the driver to keep books on; many edges and added ones give the same roots."""
+    from gridloom.llm import components as graph
+
+    r = random.Random(9)
+    ids = [r.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+    path = list(zip(ids[:150], ids[1:150], strict=False))  # long, with its smallest node anywhere
+    hub = [(ids[150], x) for x in ids[151:250]]
+    some = [(r.choice(ids[250:]), r.choice(ids[250:])) for _ in range(90)]
+    pairs = path + hub + some + some[:20] + [(ids[0], ids[0])]
+    comp = {}
+
+    def root(i):
+        while comp.setdefault(i, i) != i:
+            i = comp[i]
+        return i
+
+    def want(edges):
+        comp.clear()
+        for a, b in edges:
+            low, high = sorted((root(a), root(b)))
+            comp[high] = low
+        return {i: root(i) for i in list(comp) if root(i) != i}
+
+    def roots(df):
+        rows = [(x["node"], x["root"]) for x in df.collect()]
+        assert len(dict(rows)) == len(rows)
+        return dict(rows)
+
+    frame = lambda edges: spark.createDataFrame(edges, "u long, v long").repartition(3)
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        got = graph.components(frame(pairs))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert roots(got) == want(pairs) and jobs <= 6
+    assert roots(graph.components(frame(pairs).limit(0))) == {}
+    old, new = pairs[::2], pairs[1::2]
+    for few in (graph.FEW_EDGES, 0):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
+        assert roots(graph.joined(graph.components(frame(old)), frame(new))) == want(pairs)
+    assert roots(graph.components(frame(pairs))) == want(pairs)
+
+
+def test_near_groups_by_rounds_equal_brute_force(spark, monkeypatch):
+    from gridloom.llm import components as graph
+
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    r = random.Random(10)
+    texts = [[f"w{r.randrange(3000)}" for _ in range(r.randint(60, 200))] for _ in range(25)]
+    for i in range(75):  # chains of copies of copies
+        t = list(texts[i])
+        texts.append(t + [f"x{r.randrange(10**6)}" for _ in range(len(t) // 20)] if i % 2 else t[len(t) // 25 :])
+    got, want = _groups(spark, texts)
+    assert got == want and sum(i != c for i, c in want.items()) > 40
